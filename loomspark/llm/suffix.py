@@ -16,9 +16,10 @@ after the difference cover has told which of them can tie at all:
 
 Names are Karp-Rabin fingerprints modulo 2**64 from running sums: 48 bits for the cover (a false tie only adds a
 candidate), 64 bits for the final names. Comparing names instead of bytes is what bounds a bucket's
-memory: it holds numbers and no text. A name that a chunk holds many times is sent once.
+memory: it holds numbers and no text. A name that a chunk holds many times is sent once, and the answer is a bit.
 
-Documents are dealt to chunks by a hash of id and text, so copies spread. Per chunk and bucket one row of packed
+Exact copies are collapsed before texts are shuffled (each task sends a text once), so a group of copies weighs as
+much as one text; the rows get their result by the digest of their text. Per chunk and bucket one row of packed
 numbers is shuffled.
 
 Edge cases: null texts are empty; texts shorter than ``length`` keep all bytes; a document that repeats itself loses
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,33 +115,30 @@ def _batches(texts: list[bytes], least: int) -> Iterator[list[int]]:
 class Names:
     """Membership in a sorted array of names."""
 
-    def __init__(self, blobs: list[bytes], width: int):
-        width_bits = 22
-        self.sorted = np.unique(np.concatenate([_unpack(b, width) for b in blobs])) if blobs else np.empty(0, np.uint64)
-        self.shift = np.uint64((48 if width == 6 else 64) - width_bits)
-        self.bits = np.zeros(1 << width_bits, bool)
-        self.bits[(self.sorted >> self.shift).astype(np.int64)] = True
+    def __init__(self, own: np.ndarray, bits: int, index_bits: int = 22):
+        self.sorted, self.shift = own, np.uint64(bits - index_bits)
+        self.index = np.zeros(1 << index_bits, bool)
+        self.index[(own >> self.shift).astype(np.int64)] = True
 
     def has(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), bool)
-        if not len(self.sorted):
-            return out
-        maybe = np.flatnonzero(self.bits[(x >> self.shift).astype(np.int64)])
-        y = x[maybe]
-        at = np.minimum(np.searchsorted(self.sorted, y), len(self.sorted) - 1)
-        out[maybe] = self.sorted[at] == y
+        if len(self.sorted):
+            maybe = np.flatnonzero(self.index[(x >> self.shift).astype(np.int64)])
+            y = x[maybe]
+            at = np.minimum(np.searchsorted(self.sorted, y), len(self.sorted) - 1)
+            out[maybe] = self.sorted[at] == y
         return out
 
 
-def _pack(x: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Ascending names as differences, byte plane by byte plane: the high planes are zeros, which compress away."""
+    steps = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unpack(blob: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").ravel()
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _cover_name(x: np.ndarray) -> np.ndarray:
@@ -182,39 +181,58 @@ def _window_names(texts: list[bytes], repeated: Names, length: int) -> Iterator[
             begin += len(texts[i])
 
 
-def _dealt(chunk: int, found: np.ndarray, buckets: int, width: int) -> pd.DataFrame:
-    """One row for each bucket: the names of a chunk, each once, and those it holds more than once."""
-    own, counts = np.unique(found, return_counts=True)
-    bits = 48 if width == 6 else 64
-    to = ((own >> np.uint64(bits - 16)) * np.uint64(buckets)) >> np.uint64(16)
-    edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-    rows = [(b, chunk, _pack(own[x:y], width), np.packbits(counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "names", "twice"])
+COVER_BITS, NAME_BITS = 48, 64
+_DEALT = "bucket int, chunk int, names binary, twice binary"
+_HEARD = "chunk int, kind int, bucket int, again binary"
 
 
-_DEALT = "bucket int, chunk int, names binary, twice binary"
+def _edges(own: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Where each bucket begins in a chunk's ascending names; a bucket is a range of names."""
+    to = ((own >> np.uint64(bits - 24)) * np.uint64(buckets)) >> np.uint64(24)
+    return np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _sort_bucket(width: int):
-    """Sort the names of one bucket; each chunk hears which of its names are repeated anywhere."""
+def _dealt(chunk: int, found: np.ndarray, bits: int, buckets: int) -> pd.DataFrame:
+    """One row for each bucket: the names of a chunk, each once, and which of them it holds more than once."""
+    own, counts = np.unique(found, return_counts=True)
+    edges = _edges(own, bits, buckets)
+    rows = [(b, chunk, _pack(own[x:y]), np.packbits(counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "names", "twice"])
+
+
+def _sort_bucket(kind: int):
+    """Sort the names of one bucket; each chunk hears, as bits, which of its names are repeated anywhere."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(b, width) for b in rows["names"]]
+        own = [_unpack(b) for b in rows["names"]]
         twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)).astype(bool) for t, x in zip(rows["twice"], own, strict=True)]
         everything = np.sort(np.concatenate(own))
         again = everything[1:][everything[1:] == everything[:-1]]
         again = np.unique(np.concatenate([again, *[x[t] for x, t in zip(own, twice, strict=True)]]))
+        del everything
         out = []
-        for chunk, x in zip(rows["chunk"], own, strict=True):
-            at = np.minimum(np.searchsorted(again, x), max(0, len(again) - 1))
-            back = x[again[at] == x] if len(again) else x[:0]
-            if len(back):
-                out.append((chunk, _pack(back, width)))
-        return pd.DataFrame(out, columns=["chunk", "names"])
+        for chunk, bucket, x in zip(rows["chunk"], rows["bucket"], own, strict=True):
+            if len(again):
+                hit = again[np.minimum(np.searchsorted(again, x), len(again) - 1)] == x
+                if hit.any():
+                    out.append((chunk, kind, bucket, np.packbits(hit).tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "again"])
 
     return run
 
 
+def _repeated(found: np.ndarray, heard: pd.DataFrame, kind: int, bits: int, buckets: int) -> Names:
+    """The names of a chunk that its buckets report as repeated."""
+    own = np.unique(found)
+    edges = _edges(own, bits, buckets)
+    hit = np.zeros(len(own), bool)
+    heard = heard[heard["kind"] == kind]
+    for b, again in zip(heard["bucket"], heard["again"], strict=True):
+        x, y = edges[b], edges[b + 1]
+        hit[x:y] = np.unpackbits(np.frombuffer(again, np.uint8), count=y - x).astype(bool)
+    return Names(own[hit], bits)
+
+
 def removed(text: bytes, at: np.ndarray, length: int) -> tuple[int, int, str]:
     """(bytes removed, maximal removed runs, sha256 of what is left) for repeated suffixes at ``at``, ascending."""
     if not len(at):
@@ -241,45 +259,75 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(8, math.ceil(total / chunk_bytes))
     buckets = max(16, math.ceil(total / (8 << 20)))
-    own = docs.select(F.pmod(F.xxhash64(text_col, id_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("string").alias("id"), text.alias("data"))
-    dealt = own.groupBy("chunk")
+    digest = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    own = docs.select(F.pmod(F.xxhash64(digest), F.lit(chunks)).cast("int").alias("chunk"), digest.alias("digest"), text.alias("data"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's texts, each once; a second row without text says that the task has seen a copy."""
+        seen: set[bytes] = set()
+        copied: dict[bytes, int] = {}
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (chunk, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if d in seen:
+                    copied[d] = chunk
+                else:
+                    seen.add(d)
+                    keep[i] = True
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, names=["chunk", "digest", "data"])
+        rest = [pa.array(list(copied.values()), pa.int32()), pa.array(list(copied), pa.binary()), pa.nulls(len(copied), pa.binary())]
+        yield pa.RecordBatch.from_arrays(rest, names=["chunk", "digest", "data"])
+
+    dealt = own.mapInArrow(once, "chunk int, digest binary, data binary").groupBy("chunk")
+
+    def texts_of(rows: pd.DataFrame) -> tuple[list[bytes], list[bytes], list[bool]]:
+        """(digests, texts, whether there are copies) of a chunk."""
+        held: dict[bytes, list] = {}
+        for d, t in zip(rows["digest"], rows["data"], strict=True):
+            x = held.setdefault(bytes(d), [None, 0])
+            x[0], x[1] = t if x[0] is None else x[0], x[1] + 1
+        keys = sorted(held)
+        return keys, [bytes(held[k][0]) for k in keys], [held[k][1] > 1 for k in keys]
+
+    def windows(texts: list[bytes], repeated: Names) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        return list(_window_names(texts, repeated, length))
+
+    joined = lambda found: np.concatenate([x for _, _, x in found]) if found else np.empty(0, np.uint64)
 
     def sample(rows: pd.DataFrame) -> pd.DataFrame:
-        return _dealt(int(rows["chunk"].iloc[0]), _cover_names(list(rows["data"]), length), buckets, 6)
-
-    def exchange(of: DataFrame, width: int) -> DataFrame:
-        back = of.groupBy("bucket").applyInPandas(_sort_bucket(width), "chunk int, names binary")
-        return back.groupBy("chunk")
+        return _dealt(int(rows["chunk"].iloc[0]), _cover_names(texts_of(rows)[1], length), COVER_BITS, buckets)
 
-    def remaining(rows: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or again.empty:
-            return _dealt(0, np.empty(0, np.uint64), buckets, 8)
-        repeated = Names(list(again["names"]), 6)
-        found = [x for _, _, x in _window_names(list(rows["data"]), repeated, length)]
-        return _dealt(int(rows["chunk"].iloc[0]), np.concatenate(found) if found else np.empty(0, np.uint64), buckets, 8)
+    def remaining(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or heard.empty:
+            return _dealt(0, np.empty(0, np.uint64), NAME_BITS, buckets)
+        texts = texts_of(rows)[1]
+        repeated = _repeated(_cover_names(texts, length), heard, 0, COVER_BITS, buckets)
+        return _dealt(int(rows["chunk"].iloc[0]), joined(windows(texts, repeated)), NAME_BITS, buckets)
 
-    def mark(rows: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+    def mark(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         out = []
-        texts = list(rows["data"])
+        if rows.empty:
+            return pd.DataFrame(out, columns=["digest", "n_removed", "n_spans", "kept_sha256"])
+        keys, texts, copied = texts_of(rows)
         places: dict[int, np.ndarray] = {}
-        if not again.empty:
-            repeated = Names(list(again["names"]), 8)
-            for part in _batches(texts, length):
-                data = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
-                sums, begin = running(data), 0
-                hit = repeated.has(names(sums, slice(None), length))
-                for i in part:
-                    places[i] = np.flatnonzero(hit[begin : begin + len(texts[i]) - length + 1])
-                    begin += len(texts[i])
+        if not heard.empty:
+            repeated = _repeated(_cover_names(texts, length), heard, 0, COVER_BITS, buckets)
+            found = windows(texts, repeated)
+            final = _repeated(joined(found), heard, 1, NAME_BITS, buckets)
+            places = {i: at[final.has(x)] for i, at, x in found}
         nothing = np.empty(0, np.int64)
-        for i, (key, t) in enumerate(zip(rows["id"], texts, strict=True)):
-            out.append((key, len(t), *removed(t, places.get(i, nothing), length)))
-        return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    cover = exchange(dealt.applyInPandas(sample, _DEALT), 6)
-    final = exchange(dealt.cogroup(cover).applyInPandas(remaining, _DEALT), 8)
-    out = dealt.cogroup(final).applyInPandas(mark, "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return out.select(F.col("id").cast(kind).alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        for i, (key, t) in enumerate(zip(keys, texts, strict=True)):
+            at = np.arange(len(t) - length + 1) if copied[i] and len(t) >= length else places.get(i, nothing)
+            out.append((key, *removed(t, at, length)))
+        return pd.DataFrame(out, columns=["digest", "n_removed", "n_spans", "kept_sha256"])
+
+    cover = dealt.applyInPandas(sample, _DEALT).groupBy("bucket").applyInPandas(_sort_bucket(0), _HEARD)
+    rest = dealt.cogroup(cover.groupBy("chunk")).applyInPandas(remaining, _DEALT)
+    final = rest.groupBy("bucket").applyInPandas(_sort_bucket(1), _HEARD)
+    # one plan: the exchanges of texts and of cover names are made once and read again
+    marked = dealt.cogroup(cover.union(final).groupBy("chunk")).applyInPandas(mark, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    thin = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("bigint").alias("n_bytes"), digest.alias("digest"))
+    return thin.join(marked, "digest").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_suffix(docs: DataFrame) -> DataFrame:
