@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import reports, search, streams
+
+MODULES = (reports, search, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
