@@ -87,6 +87,7 @@ class Index:
         for key, text in items:
             if ids := [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]:
                 self.items.append((key, ids))
+        self.sets = [frozenset(ids) for _, ids in self.items]
         self.size = len(self.vocab) + 1  # under 2**20 for a block of a few MB: three words fit 60 bits
         grams: dict[int, list[tuple[int, int]]] = {}
         for i, (_, ids) in enumerate(self.items):
@@ -173,7 +174,10 @@ class Index:
                     if best == 0:
                         continue
                     lo, hi = max(starts[doc[w]], first[w] - slack), min(ends[w], first[w] + n + slack)
-                    d = best_distance(item, ids[lo:hi].tolist())
+                    region = ids[lo:hi].tolist()
+                    if len(self.sets[i].difference(region)) > slack:  # each missing word costs an edit
+                        continue
+                    d = best_distance(item, region)
                     if d <= slack and (best is None or d < best):
                         out[doc[w]][key] = d
 

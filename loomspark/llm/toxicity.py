@@ -5,7 +5,7 @@ from labelled rows, as words and as stems (their first four letters); the rest a
 once, left to right, by the composition of these transducers: its state remembers whether a negation or a reporting
 verb governs what follows and whether somebody is addressed, and each insult or threat is emitted into the class of
 that state. A document is the vector of what its clauses emit, and a logistic model, fitted on other labelled rows
-than the insults were learned from, turns it into a score. Words outside a matched clause count for nothing.
+than the insults it reads were learned from, turns it into a score. Words outside a matched clause count for nothing.
 
 Labels are used from at most ``max_train`` rows (by a hash of the id, held-out rows excluded).
 
@@ -136,17 +136,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, seed: int
     return some.join(F.broadcast(few), "doc_id").select("text", "y", part)  # few: about max_train rows of two numbers
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, max_features: int = 5_000, min_contexts: int = 6, least_weight: float = 3.0) -> Model:
-    """Learn insults on one half of the sample and the logistic model on the other.
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, max_features: int = 5_000, min_contexts: int = 3, least_weight: float = 3.0) -> Model:
+    """Learn insults and the logistic model from the labelled sample, crosswise.
 
-    A word's evidence is counted over its contexts (the word before it), so that copies of one text count once.
+    A word's evidence is counted over its contexts (the word before it), so that copies of one text count once. Each half
+    of the sample is read with the insults of the other half to fit the logistic model; the model then reads with the
+    insults of both.
     """
     rows = training_rows(docs, labels, max_train)
 
     def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats, ctx = [], []
-            for t in batch.column(0).to_pylist():
+            feats, ctx, parts = [], [], []
+            for t, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = set()
                 words = _WORD.findall((t or "").lower())
                 for before, w in zip(["", *words], words, strict=False):
@@ -155,41 +157,50 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, max_feature
                             seen.add((f, before))
                             feats.append(f)
                             ctx.append(before)
-            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.string()), pa.array(ctx, pa.string())], names=["f", "c"])
+                            parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.string()), pa.array(ctx, pa.string()), pa.array(parts, pa.int32())], names=["f", "c", "part"])
 
-    half = rows.where("part = 0").select("text", "y")
-    pos = half.where("y = 1").mapInArrow(toxic_words, "f string, c string").groupBy("f").agg(F.approx_count_distinct("c").alias("n_ctx"), F.count(F.lit(1)).alias("n")).where(F.col("n_ctx") >= min_contexts)
-    found = {r["f"]: r["n_ctx"] for r in pos.orderBy(F.desc("n_ctx"), "f").limit(40 * max_features).collect()}
+    pos = rows.where("y = 1").select("text", F.col("part").cast("int")).mapInArrow(toxic_words, "f string, c string, part int")
+    pos = pos.groupBy("f").agg(*[F.approx_count_distinct(F.when(F.col("part") == k, F.col("c"))).alias(f"c{k}") for k in (0, 1)]).where(F.col("c0") + F.col("c1") >= min_contexts)
+    contexts = {r["f"]: (r["c0"], r["c1"]) for r in pos.orderBy(F.desc(F.col("c0") + F.col("c1")), "f").limit(20 * max_features).collect()}
 
-    def count_docs(batches: Iterator[pa.RecordBatch], known=frozenset(found)) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    def count_docs(batches: Iterator[pa.RecordBatch], known=frozenset(contexts)) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[int(y > 0)].update(known.intersection(features(_WORD.findall((t or "").lower()))))
-                counts[int(y > 0)][""] += 1
-        rows_ = [(f, y, n) for y, c in counts.items() for f, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.string()), pa.array([r[1] for r in rows_], pa.int32()), pa.array([r[2] for r in rows_], pa.int64())], names=["f", "y", "n"])
-
-    counted = half.mapInArrow(count_docs, "f string, y int, n bigint").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n")).collect()
-    counts = {r["f"]: (r["p"], r["n"]) for r in counted}
-    n_pos, n_neg = counts.pop("", (0, 0))
-    if not n_pos or not n_neg:
+            for t, y, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for f in known.intersection(features(_WORD.findall((t or "").lower()))) | {""}:
+                    counts[f, int(y > 0), part] += 1
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["f", "y", "part", "n"])
+
+    counted = rows.select("text", "y", F.col("part").cast("int")).mapInArrow(count_docs, "f string, y int, part int, n bigint").groupBy("f", "y", "part").agg(F.sum("n").alias("n")).collect()
+    counts = {(r["f"], r["y"], r["part"]): r["n"] for r in counted}
+    get = lambda f, y, parts: sum(counts.get((f, y, k), 0) for k in parts)
+
+    def insults(parts: tuple[int, ...]) -> dict[str, float]:
+        n_pos, n_neg = get("", 1, parts), get("", 0, parts)
+        found = []
+        for f, ctx in contexts.items():
+            evidence = sum(min(counts.get((f, 1, k), 0), ctx[k]) for k in parts)
+            if evidence >= (min_contexts + 1) // 2 * len(parts) // 2 + 1:
+                w = math.log((evidence + 0.5) / (n_pos + 1)) - math.log((get(f, 0, parts) + 0.5) / (n_neg + 1))
+                if w >= least_weight:
+                    found.append((w, f))
+        return {f: round(w, 4) for w, f in sorted(found, reverse=True)[:max_features]}
+
+    if not get("", 1, (0, 1)) or not get("", 0, (0, 1)):
         return Model({}, None)
-    weights = {f: math.log((min(p, found[f]) + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1)) for f, (p, n) in counts.items()}
-    best = sorted(((w, f) for f, w in weights.items() if w >= least_weight), reverse=True)[:max_features]
-    weights = {f: round(w, 4) for w, f in best}
+    crosswise = {0: insults((1,)), 1: insults((0,))}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [vector(t, weights) for t in batch.column(0).to_pylist()]
+            x = [vector(t, crosswise[part]) for t, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
 
-    sample = rows.where("part = 1").select("text", "y").mapInArrow(vectors, "x array<double>, y int").collect()  # eight numbers for half of max_train rows
+    sample = rows.select("text", "y", F.col("part").cast("int")).mapInArrow(vectors, "x array<double>, y int").collect()  # eight numbers for each of max_train rows
     y = np.array([float(r["y"] > 0) for r in sample])
-    if not len(y) or y.min() == y.max():
-        return Model(weights, None)
     order = sorted(range(len(sample)), key=lambda i: (sample[i]["x"], y[i]))  # the fit doesn't depend on the order of rows
-    return Model(weights, fit_logistic(np.array([sample[i]["x"] for i in order]), y[order]))
+    return Model(insults((0, 1)), fit_logistic(np.array([sample[i]["x"] for i in order]), y[order]))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
