@@ -170,7 +170,7 @@ def threshold(fused: DataFrame, floor: float, is_page: str | None = None) -> Dat
 
 
 def seat_cap(ranked: DataFrame, cap: int = 2, group: str = "conversation_id") -> DataFrame:
-    w = Window.partitionBy("query_id", group).orderBy(F.desc("rel"), "unit_id")
+    w = Window.partitionBy("query_id", group).orderBy(F.desc(F.round("rel", 9)), "unit_id")  # the last bits depend on the order of a sum
     return ranked.withColumn("seat", F.row_number().over(w)).where(F.col("seat") <= cap)
 
 

@@ -104,7 +104,7 @@ def relative_threshold(s, d):
 
 
 @query(f"""WITH {_CH}, g AS (SELECT fu.*, d.source AS conversation_id FROM fu JOIN documents d ON d.doc_id = fu.unit_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, conversation_id ORDER BY rel DESC, unit_id) AS seat FROM g) SELECT query_id, unit_id, conversation_id, seat FROM r WHERE seat <= 2""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, conversation_id ORDER BY round(rel, 9) DESC, unit_id) AS seat FROM g) SELECT query_id, unit_id, conversation_id, seat FROM r WHERE seat <= 2""")
 def seat_cap(s, d):
     j = S.fuse(_channels(s, d)).join(_doc_units(s, d).select("unit_id", "conversation_id"), "unit_id")
     return S.seat_cap(j).select("query_id", "unit_id", "conversation_id", F.col("seat").cast("bigint").alias("seat"))
