@@ -70,7 +70,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("lost") <= max_loss)
-    return df.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_kept_lines", "lost", "cleaned", kept.alias("kept"))
+    df = df.withColumn("kept", kept)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_kept_lines", "lost", "kept"]
+    # a filter on a result stays above the generator; pushed below, it would repeat the sort of all windows for each window
+    out = df.select(F.col("_id").alias(id_col), "cleaned", F.inline(F.array(F.struct(*names))))
+    return out.select(id_col, *names[:-1], "cleaned", "kept")
 
 
 def op10_quality(docs: DataFrame) -> DataFrame:
