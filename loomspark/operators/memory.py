@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,52 +167,105 @@ def conversation_scores(units: DataFrame, values: DataFrame) -> DataFrame:
     return own.groupBy("source", "conversation_id").agg(F.avg("value").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
-def near_pairs(vectors: DataFrame, least: float = SIMILAR, id_col: str = "unit_id", tables: int = 12, bits: int | None = None) -> DataFrame:
-    """(a, b, sim), a < b: pairs of unit vectors with a cosine of ``least`` or more.
+def equal_vectors(vectors: DataFrame, id_col: str = "unit_id", salts: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(id, e) of one row a distinct vector, the one with the smallest id, and (id, rep) of all others that equal it.
 
-    Small tables are compared whole, block by block; larger ones through random-hyperplane tables (a pair at 0.8 agrees
-    on a bit with probability 0.795), each candidate being verified.
+    A class of many copies is dealt over ``salts`` tasks.
     """
-    n = vectors.count()
-    v = vectors.select(F.col(id_col).alias("id"), V.l2_normalize(F.col("embedding")).alias("e"))
-    if n <= 4096:
-        pairs = v.select(F.col("id").alias("a"), F.col("e").alias("x")).join(F.broadcast(v.select(F.col("id").alias("b"), F.col("e").alias("y"))), F.col("a") < F.col("b"))  # at most 4096 rows
-    else:
-        import numpy as np
-
-        dim = vectors.select(F.size("embedding")).first()[0]
-        bits = bits or max(8, n.bit_length() - 6)
-        planes = np.random.default_rng(3).normal(size=(tables * bits, dim))
+    v = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("id IS NOT NULL AND e IS NOT NULL")
+    classes = cut(v.groupBy("e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    several = classes.where("n > 1").select("e", "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    copies = v.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(several, ["e", "salt"]).where("id <> rep").select("id", "rep")
+    return classes.select(F.col("rep").alias("id"), "e"), cut(copies, "copies")
 
-        @F.pandas_udf("array<bigint>")
-        def keys(es: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in es:
-                side = (np.array(s.tolist()) @ planes.T > 0).reshape(len(s), tables, bits)
-                yield pd.Series(list((side * (1 << np.arange(bits))).sum(2)))
 
-        k = v.select("id", "e", F.posexplode(keys("e")).alias("t", "key"))
-        pairs = k.select("t", "key", F.col("id").alias("a"), F.col("e").alias("x")).join(k.select("t", "key", F.col("id").alias("b"), F.col("e").alias("y")), ["t", "key"]).where("a < b")
-    return pairs.select("a", "b", V.dot(F.col("x"), F.col("y")).alias("sim")).where(F.col("sim") >= least).distinct()
+def block_pairs(reps: DataFrame, least: float, block: int = 8192) -> DataFrame:
+    """(a, b, sim), a < b: the pairs of rows (id, e) with a cosine of ``least`` or more; none is lost at any size.
 
+    The rows are dealt into blocks, and a task compares one block with one other (or itself) by matrix products, so
+    only pairs over the threshold leave it. Vectors of different lengths are not compared.
+    """
+    n = reps.count()
+    k = max(4, -(-n // block))
+    # rows of block x go to the cells (x, y) and (y, x) with the smaller first: every two blocks meet in one task
+    cells = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda y: F.struct((F.least("x", y) * k + F.greatest("x", y)).alias("cell"), (F.col("x") > y).alias("second")))
+    dealt = reps.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")).select("id", "e", F.size("e").alias("dim"), F.inline(cells))
+    kind = reps.schema["id"].dataType.simpleString()
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-def triage(memories: DataFrame, pairs: DataFrame, duplicate: float = DUPLICATE, similar: float = SIMILAR) -> DataFrame:
+        e = np.array(pdf["e"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+        e = e / np.maximum(np.sqrt((e * e).sum(1, keepdims=True)), 1e-300)
+        ids, second, out = pdf["id"].to_numpy(), pdf["second"].to_numpy(), []
+        cell = int(pdf["cell"].iloc[0])
+        left = np.arange(len(pdf)) if cell // k == cell % k else np.flatnonzero(~second)
+        right = left if cell // k == cell % k else np.flatnonzero(second)
+        far = e[right]
+        for at in range(0, len(left), 512):
+            near = left[at : at + 512]
+            i, j = np.nonzero(e[near] @ far.T >= least - 1e-9)
+            i, j = near[i], right[j]
+            if left is right:
+                once = i < j
+                i, j = i[once], j[once]
+            for c in range(0, len(i), 100_000):
+                p, q = i[c : c + 100_000], j[c : c + 100_000]
+                sim = (e[p] * e[q]).sum(1)
+                ok = sim >= least
+                a, b = ids[p[ok]], ids[q[ok]]
+                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0], "sim": e[:0, 0]})
+
+    # a fixed number, as small partitions would be joined into few tasks
+    return dealt.repartition(k * (k + 1) // 2, "cell", "dim").groupBy("cell", "dim").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
+
+
+def near_pairs(vectors: DataFrame, least: float = SIMILAR, id_col: str = "unit_id", block: int = 8192, salts: int = 32) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of vectors with a cosine of ``least`` or more.
+
+    Distinct vectors are compared, and pairs are written out for their copies at the end.
+    """
+    reps, copies = equal_vectors(vectors, id_col, salts)
+    found = block_pairs(reps, least, block)
+    if copies.isEmpty():
+        return found
+    all_ = reps.select("id", F.col("id").alias("rep")).unionByName(copies)
+    of = lambda x: all_.select(F.col("id").alias(f"_{x}"), F.col("rep").alias(x))
+    cross = found.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "sim")
+    # the copies of one class meet each other in ``salts`` tasks
+    shared = all_.join(copies.select("rep").distinct(), "rep", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    other = shared.select("rep", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    same = shared.select("rep", F.col("id").alias("a"), "salt").join(other, ["rep", "salt"]).where("a < b")
+    own = reps.select(F.col("id").alias("rep"), V.dot(F.col("e"), F.col("e")).alias("sq")).where("sq > 0").select("rep")
+    same = same.join(own, "rep", "left_semi").where(F.lit(least) <= 1.0).select("a", "b", F.lit(1.0).alias("sim"))
+    return cross.unionByName(same)
+
+
+def triage(memories: DataFrame, pairs: DataFrame, duplicate: float = DUPLICATE, similar: float = SIMILAR, copies: DataFrame | None = None) -> DataFrame:
     """(id, status, dedup_of): new, similar or duplicate, in the order of ids.
 
-    A memory is compared with earlier ones that are no duplicates themselves. That order is resolved in rounds: a row is
-    decided as soon as all of its earlier neighbours are. Rows without an earlier neighbour are new at once.
+    A memory is compared with earlier ones that are no duplicates themselves. Only pairs of ``duplicate`` or more decide
+    which those are, in rounds: a row without an open earlier neighbour is none, and its later neighbours are. ``copies``
+    (id, rep), if given, are rows that equal an earlier one that stands for them in ``pairs``: always duplicates.
     """
     edges = cut(pairs.where(F.col("sim") >= similar).select(F.col("a").alias("prev"), F.col("b").alias("id"), "sim"), "triage")
-    nodes = edges.select("id").distinct()
-    done = cut(memories.select("id").join(nodes, "id", "left_anti").select("id", F.lit("new").alias("status"), F.lit(None).cast("bigint").alias("dedup_of")), "triage")
-    left = nodes
-    while not left.isEmpty():
-        open_ = edges.join(left, "id").join(done.select(F.col("id").alias("prev"), F.col("status").alias("was")), "prev", "left")
-        ready = open_.groupBy("id").agg(F.bool_and(F.col("was").isNotNull()).alias("ok"), F.max(F.when(F.col("was") != "duplicate", F.struct(F.col("sim"), (-F.col("prev")).alias("neg")))).alias("best")).where("ok")
-        sim, prev = F.col("best")["sim"], -F.col("best")["neg"]
-        now = ready.select("id", F.when(sim >= duplicate, "duplicate").when(sim >= similar, "similar").otherwise("new").alias("status"), F.when(sim.isNotNull(), prev).alias("dedup_of"))
-        done = cut(done.unionByName(now), "triage")
-        left = cut(left.join(done, "id", "left_anti"), "triage")
-    return done
+    open_ = cut(edges.where(F.col("sim") >= duplicate).select("prev", "id"), "triage")
+    gone = open_.select("id").limit(0)
+    while not open_.isEmpty():
+        anchors = open_.select("prev").distinct().join(open_.select(F.col("id").alias("prev")), "prev", "left_anti")
+        now = cut(open_.join(anchors, "prev", "left_semi").select("id").distinct(), "triage")
+        gone = cut(gone.unionByName(now), "triage")
+        open_ = cut(open_.join(now, "id", "left_anti").join(now.select(F.col("id").alias("prev")), "prev", "left_anti"), "triage")
+    if copies is not None:
+        both = edges.unionByName(edges.select(F.col("id").alias("prev"), F.col("prev").alias("id"), "sim"))
+        of_copies = copies.join(both.withColumnRenamed("id", "rep"), "rep").where("prev < id").select("prev", "id", "sim")
+        edges = edges.unionByName(of_copies).unionByName(copies.select(F.col("rep").alias("prev"), "id", F.lit(1.0).alias("sim")))
+    anchored = edges.join(gone.select(F.col("id").alias("prev")), "prev", "left_anti")
+    best = anchored.groupBy("id").agg(F.max(F.struct(F.col("sim"), (-F.col("prev")).alias("neg"))).alias("best"))
+    sim, prev = F.col("best")["sim"], -F.col("best")["neg"]
+    status = F.when(sim >= duplicate, "duplicate").when(sim >= similar, "similar").otherwise("new")
+    return memories.select("id").join(best, "id", "left").select("id", status.alias("status"), prev.alias("dedup_of"))
 
 
 def projections(memories: DataFrame) -> DataFrame:

@@ -191,7 +191,8 @@ def conversation_slices(s, d):
 @query()
 def memory_triage(s, d):
     v = _vectors(s, d)
-    return M.triage(v.select(F.col("unit_id").alias("id")), M.near_pairs(v, 0.35), 0.45, 0.35)
+    reps, copies = M.equal_vectors(v)
+    return M.triage(v.select(F.col("unit_id").alias("id")), M.block_pairs(reps, 0.35), 0.45, 0.35, copies)
 
 
 def _link_pages(s, d):
