@@ -49,17 +49,21 @@ def fingerprint(data: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): ``fp`` is the fingerprint's bits as a signed long."""
+    """(id, digest, fp): ``fp`` is the fingerprint's bits as a signed long, ``digest`` the text's MD5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["id", "digest", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
-    return thin.mapInArrow(run, f"id {kind}, fp bigint")
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"), _digest(F.col(text_col)).alias("digest"))
+    return thin.mapInArrow(run, f"id {kind}, digest binary, fp bigint")
 
 
 def block_masks(m: int, max_bits: int) -> list[int]:
@@ -179,15 +183,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, hot_bucket: int = 20_000) -> DataFrame:
-    """(id, fp, component_id) for each row of ``docs``; the class of a fingerprint holds all its copies."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(id, digest, fp) of each row, and (fp, component_id, root) of each fingerprint; ``root`` names its component."""
     prints = materialise(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
     reps = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     roots = connected_components(links(reps.select("fp"), max_bits, reps.count(), hot_bucket))
     linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("low"))
-    named = linked.join(smallest, "root").select("fp", "low")
-    of = materialise(reps.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")), "classes")
+    named = linked.join(smallest, "root").select("fp", "low", "root")
+    of = reps.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints, materialise(of, "classes")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, hot_bucket: int = 20_000) -> DataFrame:
+    """(id, fp, component_id) for each row of ``docs``; the class of a fingerprint holds all its copies."""
+    prints, of = _classes(docs, id_col, text_col, shingle, max_bits, hot_bucket)
     return prints.join(of, "fp").select("id", "fp", "component_id")
 
 
@@ -200,15 +210,15 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     return components(docs).select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those that carry its smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, hot_bucket: int = 20_000) -> DataFrame:
+    """One row of ``docs`` for each component: the first by id (rows without an id last) and digest of the text.
 
-    Of rows that repeat an id one stays; rows without an id stay where no row of their component has one.
+    A row is known by id and digest, so rows without an id and rows of one id in several components are kept; rows
+    equal in both are one row.
     """
-    kept = components(docs, id_col, **options).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").count()
-    kept = materialise(kept, "kept")
-    again = kept.where("count > 1").select("id")
-    if again.isEmpty():
-        return docs.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
-    ids = kept.select(F.col("id").alias("_kept_id"))
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi").dropDuplicates([id_col])
+    prints, of = _classes(docs, id_col, text_col, shingle, max_bits, hot_bucket)
+    rows = prints.join(of, "fp").groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("k"))
+    kept = materialise(first.select(F.col("k.id").alias("_id"), F.col("k.digest").alias("_digest"), F.col("k.n").alias("_n")), "kept")
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & _digest(docs[text_col]).eqNullSafe(kept["_digest"]), "left_semi")
+    return out if kept.where("_n > 1").isEmpty() else out.withColumn("_digest", _digest(F.col(text_col))).dropDuplicates([id_col, "_digest"]).drop("_digest")

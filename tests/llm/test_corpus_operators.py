@@ -413,6 +413,19 @@ def test_keep_one(edge, empty):
     assert simhash.op8_simhash(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_rows_without_an_id(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(80))
+    one, two, three, four, five = (text() for _ in range(5))
+    for rows, want in (
+        ([(1, one), (None, two)], [(1, one), (None, two)]),
+        ([(1, one), (None, one), (None, two), (None, two), (None, three)], [(1, one), (None, two), (None, three)]),
+        ([(5, four), (5, five), (5, five), (6, one)], [(5, four), (5, five), (6, one)]),
+    ):
+        out = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter(want)
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 
 
