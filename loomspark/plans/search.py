@@ -113,7 +113,7 @@ def seat_cap(s, d):
 @query()
 def hybrid_search(s, d):
     """The flagship: vector, trigram, identifier and phrase channels, fused, valued, thresholded, diversified."""
-    units = _doc_units(s, d).join(_vectors(s, d), "unit_id")
+    units = _doc_units(s, d).join(_vectors(s, d), "unit_id", "left")  # text channels see documents without a vector
     values = table(s, d, "labels").select(F.col("doc_id").alias("unit_id"), F.when(F.col("quality") == 1, 0.6).otherwise(0.2).alias("value"), F.lit(None).cast("double").alias("manual_value"), F.lit(1704067200.0).alias("time"), F.lit(False).alias("locked"))
     qv = _query_vectors(s, d).head(len(TEXTS)).assign(query_id=list(range(len(TEXTS))))
     return S.hybrid(units, _texts(s), qv, values, 1706745600.0).select("query_id", "unit_id", F.round("rel", 5).alias("rel"), "position")
