@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Bits per dimension, dimensions and sub-cells of a cell.
 GRID_BITS, DIMS, SUB_CELLS = 3, 4, 64
 
@@ -52,10 +54,28 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(col: Column) -> Column:
-    """A number that keeps the order of the first six bytes of a string; null is -1."""
-    head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def text_cuts(rows: DataFrame, dim: Column, bits: int) -> list[str]:
+    """Up to ``2**bits - 1`` cut points of a string: its values if they are no more, else quantiles of the rows.
+
+    Whole strings are compared. Values are counted first, and the counts summed in ranges of values.
+    """
+    n = 1 << bits
+    counts = rows.select(dim.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    few = [r["v"] for r in counts.select("v").orderBy("v").limit(n).collect()]
+    if len(few) < n:
+        return few
+    before = counts.groupBy("part").agg(F.sum("n").alias("part_n"))  # a row for each partition
+    before = before.select("part", (F.sum("part_n").over(Window.orderBy("part")) - F.col("part_n")).alias("start"), F.sum("part_n").over(Window.partitionBy()).alias("total"))
+    along = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    upto = counts.join(F.broadcast(before), "part").select("v", "n", "total", along.alias("upto"))
+    step = f"(upto - n) * {n} div total"
+    return [r["v"] for r in upto.where(f"upto * {n} div total > {step} AND {step} < {n - 1}").orderBy("v").select("v").collect()]
+
+
+def text_rank(dim: Column, cuts: list[str]) -> Column:
+    """How many of the cut points a string reaches; null reaches none."""
+    return sum((F.coalesce((dim >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
 
 
 def curve_cell(dims: list[Column], cuts: list[list[float]], bits: int) -> Column:
@@ -73,13 +93,15 @@ def assign(rows: DataFrame, dims: list[Column], tie: list[Column], shards: int =
     """``rows`` plus shard, slot: runs of the curve order whose lengths differ by one at most.
 
     ``tie`` orders rows within a cell and spreads a cell over sub-cells. The cut points are ``2**bits - 1`` quantiles of
-    each dimension, all that comes to the driver.
+    each dimension, all that comes to the driver. A string's values are ranked whole.
     """
     names = [f"_dim{i}" for i in range(len(dims))]
+    strings = [f.dataType.typeName() == "string" for f in rows.select(*dims).schema]
+    dims = [text_rank(c, text_cuts(rows, c, bits)) if text else c for c, text in zip(dims, strings, strict=True)]
     base = rows.select("*", *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(n) for c, n in zip(dims, names, strict=True)])
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = base.agg(*[F.percentile_approx(n, steps, 2000).alias(n) for n in names]).first()
-    cuts = [sorted(set(found[n] or [])) for n in names]
+    cuts = [[i + 0.5 for i in range((1 << bits) - 1)] if text else sorted(set(found[n] or [])) for n, text in zip(names, strings, strict=True)]
     base = base.withColumn("_cell", curve_cell([F.col(n) for n in names], cuts, bits)).withColumn("_mix", F.xxhash64(*tie)).withColumn("_sub", F.pmod("_mix", F.lit(sub_cells)).cast("int")).drop(*names)
     counts = base.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     cells = counts.groupBy("_cell").agg(F.sum("_n").alias("_cell_n"))
@@ -98,7 +120,7 @@ def assign(rows: DataFrame, dims: list[Column], tie: list[Column], shards: int =
 
 
 def shard_dims(size: str = "_size") -> list[Column]:
-    return [ordinal(F.col("lang")), ordinal(F.col("source")), F.col(size), F.col("doc_id")]
+    return [F.col("lang"), F.col("source"), F.col(size), F.col("doc_id")]
 
 
 def op2_hilbert(docs: DataFrame) -> DataFrame:

@@ -149,6 +149,18 @@ def test_sharded_prunes_and_keeps_columns(docs):
     assert spread < docs.select("lang").distinct().count()
 
 
+@pytest.mark.parametrize("n", [4, 30])
+def test_shards_tell_sources_with_one_beginning_apart(spark, n):
+    rows = [(i, f"text {i}", "en", f"https://example.org/crawl_{i % n:02d}", 0) for i in range(2400)]
+    df = spark.createDataFrame(rows, DOCS)
+    cuts = hilbert.text_cuts(df, F.col("source"), 3)
+    assert cuts == sorted({r[3] for r in rows})[:n] if n < 8 else len(cuts) == 7
+    out = hilbert.sharded(df)
+    spread = out.groupBy("shard").agg(F.count_distinct("source").alias("n")).agg(F.avg("n")).first()[0]
+    assert out.count() == 2400 and spread < 0.6 * n
+    assert hilbert.sharded(df.withColumn("source", F.lit(None).cast("string"))).count() == 2400
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
