@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
 import pytest
@@ -251,10 +252,61 @@ def test_html_main_text():
     assert html.main_text("<p>cut off <b>in the middle of it all, and that is what the page was for the time") == "cut off in the middle of it all, and that is what the page was for the time"
 
 
+def plain_article(page):
+    """The text of a driver page's article, block by block, without any rule."""
+    body = re.search("<article>(.*?)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|ul|li|div)[^>]*>", body)
+    texts = (re.sub(r"\s+", " ", unescape(re.sub(r"<[a-zA-Z/][^>]*>", "", x.replace("<br>", " ")))).strip() for x in parts)
+    return "\n".join(x for x in texts if x)
+
+
+@pytest.fixture(scope="module")
+def driver_pages(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+
+
+def test_html_driver_pages_by_a_plain_version(driver_pages):
+    assert all(html.main_text(p) == plain_article(p) for p in driver_pages)
+
+
+def test_html_text_decides_where_elements_say_nothing(driver_pages, monkeypatch):
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in driver_pages]
+    hits = lambda: sum(html.main_text(b) == plain_article(p) for b, p in zip(bare, driver_pages, strict=True)) / len(bare)
+    assert hits() >= 0.85
+    monkeypatch.setattr(html, "STOP", frozenset())
+    assert hits() <= 0.15
+
+
 def test_html_second_pass():
     good = "This is the text of the page and it is about the things that were in the news on that day, with all of it. " * 2
     page = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div>By someone</div><div>{good}</div><div>The end</div><div><a href=3>Next page of results</a></div></body>"
     assert html.main_text(page).split("\n") == ["By someone", good.strip(), "The end"]
+    page = f"<article><p>{good}<p>One.<p>Two.<p>Three.</article><div>Some words</div><footer>Imprint</footer><article class=comment><p>{good}</article>"
+    assert html.main_text(page).split("\n") == [good.strip(), "One.", "Two.", "Three."]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>A text.</p><button>x<p>Rest of it</article>", "A text.\nRest of it"),
+        ("<article><p>A text.</p><select><option>a<option>b<p>Rest of it</p></article>", "A text.\nRest of it"),
+        ("<article><p>A text.</p><select><option>a<option>b</select>Rest of it</article>", "A text.\nRest of it"),
+        ("<article><p>A text.</p><svg><svg>x</svg>y</svg>Rest<script>z</article>", "A text.\nRest"),
+        ("<article><p title='it's'>A text.<p title='>'>B text.", "A text.\nB text."),
+        ("<article class='post has-sidebar'><p>A text.</p><div class='no-comments'>B text.</div><div class='post-comments'>C</div>", "A text.\nB text."),
+        ("<title>T<body><p>A text.", "A text."),
+        ("<article><h1><a href=x>Head</a></h1><p>A text.<pre>x = 1</pre></article><div class=x>Buy this</div>", "Head\nA text.\nx = 1"),
+    ],
+)
+def test_html_odd_markup(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_long_pages():
+    many = "<article>" + "<p>x</p>" * 100_000 + "</article>"
+    assert html.main_text(many).count("x") == 100_000
+    for odd in ("<option>" * 50_000, "<a b" * 50_000, "<p " + '"' * 50_001, "<!--" * 50_000, "<div>" * 20_000 + "x"):
+        html.main_text(odd)
 
 
 def test_html_query(spark):
