@@ -421,6 +421,34 @@ def test_markov_tells_random_from_ordinary(spark, docs):
     assert clean <= 0.03 * docs.count()
 
 
+def test_secrets_in_long_texts(spark):
+    """Many matches in one row, several thousand of each kind: same as brute force, and in time that grows with them."""
+    r = random.Random(70)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    rows = [
+        (1, " ".join(some(lower, 24) for _ in range(40_000))),
+        (2, "\n".join(r.choice([f"token={some(lower, 8)}", f"AKIA{some(upper, 16)}", some(lower, 30), "word", f"x{some(upper + lower, 20)}.{some(lower, 25)}"]) for _ in range(20_000))),
+        (3, some(upper + lower, 1_000_000)),
+        (4, "ordinary words and nothing else " * 30_000),
+    ]
+    df = spark.createDataFrame([(*x, "en", "a", 0) for x in rows], DOCS)
+    table = secrets.train(secrets.labelled(df))
+    got = {x.id: x for x in secrets.findings(df, table).collect()}
+    for i, text in rows:
+        base = [(int(a), secrets.KINDS.index(n), int(b)) for n, a, b in (x.split(":") for x in brute_secrets(text)[2].split(",") if x)]
+        assert [tuple(x) for x in got[i].base] == base
+        tokens = [(m.start(), 3, m.end()) for m in re.finditer(secrets.TOKEN, text)]
+        clear, at, reach = [], 0, 0
+        for a, k, b in tokens:
+            while at < len(base) and base[at][0] < b:
+                reach, at = max(reach, base[at][2]), at + 1
+            if reach <= a:
+                clear.append((a, k, b))
+        assert set(map(tuple, got[i].added)) <= set(clear)
+    assert len(got[2].added) > 1000
+
+
 def test_secrets_on_an_empty_table(empty):
     assert secrets.op7_secrets(empty).count() == 0
 
