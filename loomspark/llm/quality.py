@@ -26,25 +26,31 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def line_fails(line: Column) -> Column:
-    """One of the three kinds of line rules."""
+def line_fails(line: Column, boilerplate_share: float = 0.1) -> Column:
+    """One of the three kinds of line rules.
+
+    Punctuation: more than one symbol in 20 characters, or under three words without an end mark. Navigation: two
+    separators of one kind. Boilerplate: its phrases make up ``boilerplate_share`` of the line or more, so that a long line
+    of prose may quote one.
+    """
     chars = F.greatest(F.length(line), F.lit(1))
     symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
     punctuation = (symbols * 20 > chars) | (~line.rlike(_TERMINAL) & ~line.rlike(r"\S+\s+\S+\s+\S+"))
     navigation = F.lit(False)
     for x in _SEPARATORS:
         navigation |= F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))) >= 2 * len(x)
-    return punctuation | navigation | ((F.length(line) <= 200) & line.rlike(_BOILERPLATE))
+    phrases = F.length(line) - F.length(F.regexp_replace(line, _BOILERPLATE, ""))
+    return punctuation | navigation | (line.rlike(_BOILERPLATE) & (phrases >= boilerplate_share * chars))
 
 
 def cleaned_lines(lines: Column) -> Column:
     return F.filter(lines, lambda x: ~line_fails(x))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The base measures of each row, and its lines with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("_id"), *(carry or []), text.alias("_t"), word_list(F.col(text_col)).alias("_w"))
+    df = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), word_list(F.col(text_col)).alias("_w"))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     n = F.size("_w")
     windows = F.when(n >= 8, F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice("_w", i, 8)))).otherwise(F.array().cast("array<bigint>"))
