@@ -4,12 +4,13 @@ Several metadata columns are quantised to a small grid, a row's cell gets its in
 grid, and the rows in curve order are cut into runs of equal length: files that cover a compact part of the metadata
 space, so that min/max statistics prune on every one of the columns.
 
-Ranks are found in levels: rows are counted by (cell, sub-cell), the counts are summed along the curve (cells first,
-at most ``4096`` rows, then sub-cells of a cell), and only rows of one sub-cell are sorted together. Sub-cells come
-from a hash, so a cell that holds a third of all rows is dealt to many tasks.
+Ranks are found in levels: rows are counted by cell (4096 at most), a cell is cut by a hash into sub-cells of about
+``SUB_ROWS`` rows, the counts are summed along the curve, and only rows of one sub-cell are sorted together. So a cell
+that holds a third of all rows is dealt to many tasks, however many rows there are.
 
 Edge cases: null metadata sorts below everything else; null text has size 16 and the checksum of no bytes; equal
-rows tie and take neighbouring slots; an empty table gives an empty result.
+rows tie and take neighbouring slots; an empty table gives an empty result. Columns of any name pass through (a row
+travels as one struct); those named like a result (``curve_cell``, ``shard``, ``slot``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bits per dimension, dimensions and sub-cells of a cell.
-GRID_BITS, DIMS, SUB_CELLS = 3, 4, 64
+#: Bits per dimension, dimensions, and about how many rows are sorted together.
+GRID_BITS, DIMS, SUB_ROWS = 3, 4, 1 << 17
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -89,49 +90,51 @@ def curve_cell(dims: list[Column], cuts: list[list[float]], bits: int) -> Column
     return index(*dims)
 
 
-def assign(rows: DataFrame, dims: list[Column], tie: list[Column], shards: int = 40, bits: int = GRID_BITS, sub_cells: int = SUB_CELLS, keep: list[str] | None = None) -> DataFrame:
-    """``rows`` plus shard, slot: runs of the curve order whose lengths differ by one at most.
+def assign(rows: DataFrame, dims: list[Column], tie: list[Column], shards: int = 40, bits: int = GRID_BITS, sub_rows: int = SUB_ROWS) -> DataFrame:
+    """``rows`` plus curve_cell, shard, slot: runs of the curve order whose lengths differ by one at most.
 
     ``tie`` orders rows within a cell and spreads a cell over sub-cells. The cut points are ``2**bits - 1`` quantiles of
     each dimension, all that comes to the driver. A string's values are ranked whole.
     """
-    names = [f"_dim{i}" for i in range(len(dims))]
+    names = [f"dim{i}" for i in range(len(dims))]
     strings = [f.dataType.typeName() == "string" for f in rows.select(*dims).schema]
     dims = [text_rank(c, text_cuts(rows, c, bits)) if text else c for c, text in zip(dims, strings, strict=True)]
-    base = rows.select("*", *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(n) for c, n in zip(dims, names, strict=True)])
+    ties = [f"tie{i}" for i in range(len(tie))]
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("curve_cell", "shard", "slot")]
+    base = rows.select(F.struct(*kept).alias("row"), *[c.alias(t) for c, t in zip(tie, ties, strict=True)], F.xxhash64(*tie).alias("mix"), *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(n) for c, n in zip(dims, names, strict=True)])
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = base.agg(*[F.percentile_approx(n, steps, 2000).alias(n) for n in names]).first()
     cuts = [[i + 0.5 for i in range((1 << bits) - 1)] if text else sorted(set(found[n] or [])) for n, text in zip(names, strings, strict=True)]
-    base = base.withColumn("_cell", curve_cell([F.col(n) for n in names], cuts, bits)).withColumn("_mix", F.xxhash64(*tie)).withColumn("_sub", F.pmod("_mix", F.lit(sub_cells)).cast("int")).drop(*names)
-    counts = base.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    cells = counts.groupBy("_cell").agg(F.sum("_n").alias("_cell_n"))
-    along = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_cell", F.coalesce(F.sum("_cell_n").over(along), F.lit(0)).alias("_cell_start"), F.sum("_cell_n").over(Window.partitionBy()).alias("_total"))
-    within = Window.partitionBy("_cell").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_sub_start", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(cells), "_cell").select("_cell", "_sub", (F.col("_cell_start") + F.col("_sub_start")).alias("_start"), "_total")
-    order = Window.partitionBy("_cell", "_sub").orderBy("_mix", *tie)
-    # at most 4096 cells x 64 sub-cells of four numbers: some 8 MB, whatever the size of the table
-    ranked = base.withColumn("_row", F.row_number().over(order)).join(F.broadcast(starts), ["_cell", "_sub"]).withColumn("_rank", F.col("_start") + F.col("_row") - 1)
-    small, extra = F.expr(f"_total div {shards}"), F.expr(f"_total % {shards}")
+    base = base.withColumn("cell", curve_cell([F.col(n) for n in names], cuts, bits)).drop(*names)
+    cells = base.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_n"))
+    along = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**(bits * dims) rows
+    cells = cells.select("cell", F.ceil(F.col("cell_n") / sub_rows).cast("bigint").alias("parts"), F.coalesce(F.sum("cell_n").over(along), F.lit(0)).alias("cell_start"), F.sum("cell_n").over(Window.partitionBy()).alias("total"))
+    cells = materialise(cells, "cells")
+    base = base.join(F.broadcast(cells.select("cell", "parts")), "cell").withColumn("sub", F.pmod("mix", "parts")).drop("parts")  # 2**(bits * dims) rows at most: 4096 of two numbers
+    counts = base.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("cell").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("sub_start", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(cells), "cell").select("cell", "sub", (F.col("cell_start") + F.col("sub_start")).alias("start"), "total")
+    order = Window.partitionBy("cell", "sub").orderBy("mix", *ties)
+    ranked = base.withColumn("at", F.row_number().over(order)).join(starts, ["cell", "sub"]).withColumn("rank", F.col("start") + F.col("at") - 1)
+    small, extra = F.expr(f"total div {shards}"), F.expr(f"total % {shards}")
     edge = extra * (small + 1)  # the first shards take one row more
-    shard = F.when(F.col("_rank") < edge, F.expr(f"_rank div (_total div {shards} + 1)")).otherwise(extra + F.floor((F.col("_rank") - edge) / F.greatest(small, F.lit(1))).cast("bigint"))
-    slot = F.when(F.col("_rank") < edge, F.expr(f"_rank % (_total div {shards} + 1)")).otherwise((F.col("_rank") - edge) % F.greatest(small, F.lit(1)))
-    return ranked.select(*(keep or rows.columns), F.col("_cell").alias("curve_cell"), shard.cast("int").alias("shard"), slot.cast("bigint").alias("slot"))
+    shard = F.when(F.col("rank") < edge, F.expr(f"rank div (total div {shards} + 1)")).otherwise(extra + F.floor((F.col("rank") - edge) / F.greatest(small, F.lit(1))).cast("bigint"))
+    slot = F.when(F.col("rank") < edge, F.expr(f"rank % (total div {shards} + 1)")).otherwise((F.col("rank") - edge) % F.greatest(small, F.lit(1)))
+    return ranked.select("row.*", F.col("cell").alias("curve_cell"), shard.cast("int").alias("shard"), slot.cast("bigint").alias("slot"))
 
 
-def shard_dims(size: str = "_size") -> list[Column]:
-    return [F.col("lang"), F.col("source"), F.col(size), F.col("doc_id")]
+def shard_dims(size: Column) -> list[Column]:
+    return [F.col("lang"), F.col("source"), size, F.col("doc_id")]
 
 
 def op2_hilbert(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of the whole table, under the law ``rows``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     thin = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    out = assign(thin, shard_dims("size"), [F.col("text_crc32"), F.col("doc_id")])
+    out = assign(thin, shard_dims(F.col("size")), [F.col("text_crc32"), F.col("doc_id")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``docs`` plus curve_cell, shard, slot."""
-    sized = docs.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    return assign(sized, shard_dims(), [F.xxhash64("text"), F.col("doc_id")], shards, keep=docs.columns)
+    return assign(docs, shard_dims(F.coalesce(F.octet_length("text"), F.lit(0))), [F.xxhash64("text"), F.col("doc_id")], shards)

@@ -125,6 +125,13 @@ def test_hilbert_is_a_curve():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def _by_shard(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.shard].append(r)
+    return out
+
+
 @pytest.mark.parametrize("which", ["docs", "edge", "empty"])
 def test_shards(which, request):
     df = request.getfixturevalue(which)
@@ -143,9 +150,17 @@ def test_shards(which, request):
 
 
 def test_sharded_prunes_and_keeps_columns(docs):
-    extra = docs.withColumn("shard", F.lit("x")).withColumn("_cell", F.lit(0))
+    clash = {"shard": "x", "SLOT": "x", "_cell": 7, "cell": 8, "_start": 9, "row": 10, "tie0": 11, "mix": 12, "total": 13, "a.b": 14}
+    extra = docs
+    for name, value in clash.items():
+        extra = extra.withColumn(name, F.lit(value))
     out = hilbert.sharded(extra)
-    assert set(docs.columns) <= set(out.columns) and out.count() == docs.count()
+    assert out.columns == [*docs.columns, *[c for c in clash if c.lower() not in ("shard", "slot")], "curve_cell", "shard", "slot"]
+    assert out.count() == docs.count() and all(r[c] == v for r in out.collect() for c, v in clash.items() if c.lower() not in ("shard", "slot"))
+    assert sorted(r[0] for r in out.select("shard").distinct().collect()) == list(range(40))
+    few = hilbert.assign(docs, hilbert.shard_dims(F.length("text")), [F.col("doc_id")], 7, sub_rows=2)  # many sub-cells
+    assert sorted(Counter(r.shard for r in few.collect()).values())[0] == docs.count() // 7
+    assert all(sorted(x.slot for x in rows) == list(range(len(rows))) for rows in _by_shard(few).values())
     spread = hilbert.sharded(docs).groupBy("shard").agg(F.count_distinct("lang").alias("n")).agg(F.avg("n")).first()[0]
     assert spread < docs.select("lang").distinct().count()
 
@@ -365,9 +380,28 @@ def test_mixing_water_fills_over_caps(spark):
     assert [got[i] for i in range(5)] == pytest.approx([want[s] for s in ("a", "b", "c", "d", None)])
 
 
+def test_mixing_repeated_and_missing_ids(spark):
+    r = random.Random(6)
+    rows = [(1 if i % 2 else None, " ".join(["word"] * r.randint(1, 200)) + f" {i}", "en", "ab"[i % 3 % 2], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    key = lambda x: (x.doc_id or 0, x["size"], x.taken)
+    first = sorted(map(key, mixing.op6_mixing(df).collect()))
+    for n in (3, 11):
+        assert sorted(map(key, mixing.op6_mixing(df.orderBy(F.rand(n)).repartition(n)).collect())) == first
+
+
+def test_mixing_weight(spark):
+    texts = ["word and word " * 10, "a b c d e f " * 10, "#### $$$$ " * 20, "few words here", None, "x" * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.text_quality(F.col("t"), mixing.n_words(F.col("t"))))
+    assert [round(r[0], 4) for r in df.collect()] == [1.0, 0.5, 0.05, 0.5, 0.25, 0.25]
+
+
 def test_mixed_repeats_rows(docs, empty):
     plan = {r.id: r.times for r in mixing.mix(docs).collect()}
-    got = Counter(r.doc_id for r in mixing.mixed(docs).collect())
+    extra = docs.withColumn("_mix_n", F.lit(1)).withColumn("_mix_key", F.lit(2)).withColumn("h", F.lit(3)).withColumn("times", F.lit(-4))
+    out = mixing.mixed(extra)
+    assert out.columns == extra.columns and {(r._mix_n, r._mix_key, r.h, r.times) for r in out.collect()} == {(1, 2, 3, -4)}
+    got = Counter(r.doc_id for r in out.collect())
     assert got == Counter({k: v for k, v in plan.items() if v})
     assert mixing.op6_mixing(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
@@ -572,7 +606,7 @@ def test_quality_keeps_prose_and_drops_junk(spark, empty):
 
 
 def test_line_rules(spark):
-    lines = [("A sentence that ends as it should.", False), ("Home | News | About", True), ("###### %%%% $$$$", True), ("word", True), ("Please enable JavaScript to see this.", True), ("no stop but long enough to be prose", False)]
+    lines = [("A sentence that ends as it should.", False), ("Home | News | About", True), ("###### %%%% $$$$", True), ("word", True), ("Please enable JavaScript to see this.", True), ("A long line of prose that speaks of a page which asked its readers to enable JavaScript, and goes on about it for more than two hundred characters, since it has a story to tell of the people who made the page and why they did so.", False), ("Click here to read on, all rights reserved. " * 20, True), ("no stop but long enough to be prose", False)]
     df = spark.createDataFrame(lines, "x string, y boolean").withColumn("got", quality.line_fails(F.col("x")))
     assert [r.got for r in df.collect()] == [y for _, y in lines]
 
