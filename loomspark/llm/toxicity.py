@@ -1,11 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Transducers map the words of a clause to tags: insult, threat, target, negation, reported speech. Insults are learned
-from labelled rows, as words and as stems (their first four letters); the rest are closed word lists. A clause is read
-once, left to right, by the composition of these transducers: its state remembers whether a negation or a reporting
-verb governs what follows and whether somebody is addressed, and each insult or threat is emitted into the class of
-that state. A document is the vector of what its clauses emit, and a logistic model, fitted on other labelled rows
-than the insults it reads were learned from, turns it into a score. Words outside a matched clause count for nothing.
+The words of a clause become symbols: insult, threat, target, negation, report, word. Insults are learned from labelled
+rows, as words and as stems (their first four letters), each with a weight; the rest are closed word lists. Three
+transducers, given as tables of arcs, are composed into one (``GRAMMAR``):
+
+1. negation marks the insults and threats within the next three words;
+2. reported speech marks those within the next eight words, over any other mark;
+3. addressing looks for a target up to five words before or four words after an insult or threat, and emits its weight
+   into a class: plain, addressed, negated, reported, and threat, denied_threat, reported_threat (a threat counts only at a
+   target).
+
+A clause is read once through the composed table. A document is the vector of what its clauses emit, and a logistic
+model, fitted on other labelled rows than the insults it reads were learned from, turns it into a score. Words outside a
+matched clause count for nothing.
 
 Labels are used from at most ``max_train`` rows (by a hash of the id, held-out rows excluded).
 
@@ -29,8 +36,8 @@ TARGETS = frozenset("you your yours yourself u ur they them their he him she her
 NEGATIONS = frozenset("not no never neither nor isn't aren't wasn't don't doesn't didn't nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca jamás ningún ninguna tampoco".split())
 REPORTING = frozenset("said says say told claims claimed called calls quoted quote according wrote sagte sagt behauptet zitiert laut nannte dit disait selon raconte cite appelé dijo dice según llamó cita citado".split())
 THREATS = frozenset("kill hurt destroy punch beat stab shoot burn hang die töten umbringen verletzen schlagen verbrennen sterben tuer frapper brûler détruire mourir crever matar golpear destruir quemar morir".split())
-#: Classes that a clause emits into: plain, addressed, negated, reported insults, and threats at a target.
-CLASSES = ("plain", "addressed", "negated", "reported", "threat")
+#: Classes that a clause emits into.
+CLASSES = ("plain", "addressed", "negated", "reported", "threat", "denied_threat", "reported_threat")
 STEM = 4
 _CLAUSE = re.compile(r"[.!?;:,\n\r\"“”«»()\[\]|]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -49,24 +56,114 @@ def clauses(text: str | None) -> Iterator[list[str]]:
             yield words
 
 
+class Transducer:
+    """``arcs[state, symbol]`` is (next state, outputs); ``final[state]`` are the outputs at the end of a clause.
+
+    A symbol without an arc passes through and leaves the state as it is.
+    """
+
+    def __init__(self, start, arcs: dict, final: dict | None = None):
+        self.start, self.arcs, self.final = start, arcs, final or {}
+
+    def step(self, state, symbol) -> tuple:
+        return self.arcs.get((state, symbol), (state, (symbol,)))
+
+
+SYMBOLS = ("word", "target", "negation", "report", "insult", "threat")
+MARKS = ("", "negated", "reported")
+HITS = [(kind, mark) for kind in ("insult", "threat") for mark in MARKS]
+
+
+def scope(trigger: str, span: int, mark: str) -> Transducer:
+    """Marks the hits among the ``span`` symbols after a trigger."""
+    symbols = [x for x in SYMBOLS if x not in ("insult", "threat")] + HITS
+    arcs = {}
+    for left in range(span + 1):
+        for x in symbols:
+            inside = left and x in HITS
+            arcs[left, x] = (span if x == trigger else max(0, left - 1), ((x[0], mark) if inside else x,))
+    return Transducer(0, arcs)
+
+
+def addressing(before: int, after: int) -> Transducer:
+    """Emits hits by their class, once it is known whether a target is near.
+
+    States are ("near", n): a target n words ago or less holds for n more words, or a hit that waits for a target,
+    with the words that it still waits. Outputs are (class, whether the weight is that of the waiting hit).
+    """
+    plain = {"": "plain", "negated": "negated", "reported": "reported"}
+    aimed = {"insult": {**plain, "": "addressed"}, "threat": {"": "threat", "negated": "denied_threat", "reported": "reported_threat"}}
+    arcs, final = {}, {}
+    waiting = [(hit, n) for hit in HITS for n in range(1, after + 1)]
+    given_up = lambda hit: ((plain[hit[1]], True),) if hit[0] == "insult" else ()
+    others = ("word", "negation", "report")
+    for n in range(before + 1):
+        state = ("near", n)
+        arcs |= {(state, x): (("near", max(0, n - 1)), ()) for x in others}
+        arcs[state, "target"] = (("near", before), ())
+        for hit in HITS:
+            arcs[state, hit] = (("near", n - 1), ((aimed[hit[0]][hit[1]], False),)) if n else ((hit, after), ())
+    for hit, n in waiting:
+        state = (hit, n)
+        arcs |= {(state, x): ((hit, n - 1), ()) if n > 1 else (("near", 0), given_up(hit)) for x in others}
+        arcs[state, "target"] = (("near", before), ((aimed[hit[0]][hit[1]], True),))
+        for new in HITS:
+            arcs[state, new] = ((new, after), given_up(hit))
+        final[state] = given_up(hit)
+    return Transducer(("near", 0), arcs, final)
+
+
+def compose(first: Transducer, second: Transducer, symbols: list) -> Transducer:
+    """The transducer that feeds what ``first`` puts out to ``second``, over the states that ``symbols`` reach."""
+    start = (first.start, second.start)
+    arcs, final, queue = {}, {}, [start]
+    for state in queue:
+        final[state] = second.final.get(state[1], ())
+        for x in symbols:
+            a, middle = first.step(state[0], x)
+            b, out = state[1], ()
+            for y in middle:
+                b, more = second.step(b, y)
+                out += more
+            arcs[state, x] = ((a, b), out)
+            if (a, b) not in final and (a, b) not in queue:
+                queue.append((a, b))
+    return Transducer(start, arcs, final)
+
+
+_INPUTS = [x for x in SYMBOLS if x not in ("insult", "threat")] + [("insult", ""), ("threat", "")]
+GRAMMAR = compose(compose(scope("negation", 3, "negated"), scope("report", 8, "reported"), _INPUTS), addressing(5, 4), _INPUTS)
+
+
+def _numbered(t: Transducer) -> tuple[list[list], list]:
+    """The arcs as a table of rows by state and columns by symbol, states as numbers, and the final outputs."""
+    number = {state: i for i, state in enumerate(t.final)}
+    rows = [[(number[t.arcs[state, x][0]], t.arcs[state, x][1]) for x in _INPUTS] for state in number]
+    return rows, [t.final[state] for state in number]
+
+
+_ROWS, _FINAL = _numbered(GRAMMAR)
+_CODE = {"word": 0, "target": 1, "negation": 2, "report": 3, "insult": 4, "threat": 5}
+_CLOSED = dict.fromkeys(TARGETS, 1) | dict.fromkeys(THREATS, 5) | dict.fromkeys(REPORTING, 3) | dict.fromkeys(NEGATIONS, 2)
+
+
 def read_clause(words: list[str], weights: dict[str, float]) -> dict[str, float]:
-    """What the composed transducers emit for one clause."""
-    addressed = not TARGETS.isdisjoint(words)
-    negated = reported = 0
+    """What the composed transducer emits for one clause."""
     out: dict[str, float] = {}
+    state, held = 0, 0.0
     for w in words:
-        negated, reported = max(0, negated - 1), max(0, reported - 1)
-        if w in NEGATIONS:
-            negated = 4  # governs the next three words
-        elif w in REPORTING:
-            reported = 9
-        else:
+        code, weight = _CLOSED.get(w, 0), 1.0
+        if code not in (2, 3):
             hit = weights.get(w) or (weights.get(w[:STEM] + "*") if len(w) > STEM else None)
             if hit:
-                kind = "reported" if reported else "negated" if negated else "addressed" if addressed else "plain"
-                out[kind] = out.get(kind, 0.0) + hit
-            elif w in THREATS and addressed and not negated:
-                out["threat"] = out.get("threat", 0.0) + 1.0
+                code, weight = 4, hit
+        state, emitted = _ROWS[state][code]
+        for kind, waited in emitted:
+            out[kind] = out.get(kind, 0.0) + (held if waited else weight)
+        if code > 3:
+            held = weight
+    for kind, _ in _FINAL[state]:
+        out[kind] = out.get(kind, 0.0) + held
     return out
 
 
@@ -81,7 +178,7 @@ def vector(text: str | None, weights: dict[str, float]) -> list[float]:
             if got := read_clause(clause, weights):
                 for k, v in got.items():
                     total[k] += v
-                value = sum(v for k, v in got.items() if k != "threat")
+                value = sum(v for k, v in got.items() if not k.endswith("threat"))
                 if value:
                     n += 1
                     mass += value

@@ -201,9 +201,47 @@ def test_clause_grammar():
     assert toxicity.read_clause("somebody said that fool".split(), w) == {"reported": 5.0}
     assert toxicity.read_clause("i will hurt you".split(), w) == {"threat": 1.0}
     assert toxicity.read_clause("a foolish thing".split(), w) == {"plain": 4.0}
+    assert toxicity.read_clause("he said he will kill you".split(), w) == {"reported_threat": 1.0}
+    assert toxicity.read_clause("i will never hurt you".split(), w) == {"denied_threat": 1.0}
+    assert toxicity.read_clause("they kill time".split(), w) == {"threat": 1.0}
+    assert toxicity.read_clause("kill the process".split(), w) == {}
+    assert toxicity.read_clause("fool and fool like you".split(), w) == {"plain": 5.0, "addressed": 5.0}
+    assert toxicity.read_clause("you have not been told by anyone at all that fool".split(), w) == {"reported": 5.0}
+    assert toxicity.read_clause("you went far away from this place and saw a fool".split(), w) == {"plain": 5.0}
     assert toxicity.read_clause("a thing".split(), w) == {}
 
 
+def plain_clause(words, weights):
+    """The grammar's classes by looking around each hit, without any transducer."""
+    kinds = []
+    for w in words:
+        hit = weights.get(w) or (weights.get(w[:4] + "*") if len(w) > 4 else None)
+        kinds.append("negation" if w in toxicity.NEGATIONS else "report" if w in toxicity.REPORTING else "insult" if hit else "threat" if w in toxicity.THREATS else "target" if w in toxicity.TARGETS else "word")
+    out = defaultdict(float)
+    for i, (w, kind) in enumerate(zip(words, kinds, strict=True)):
+        if kind in ("insult", "threat"):
+            mark = "reported" if "report" in kinds[max(0, i - 8) : i] else "negated" if "negation" in kinds[max(0, i - 3) : i] else ""
+            after = []
+            for k in kinds[i + 1 : i + 5]:
+                if k in ("insult", "threat"):
+                    break
+                after.append(k)
+            aimed = "target" in kinds[max(0, i - 5) : i] or "target" in after
+            if kind == "insult":
+                out[mark or ("addressed" if aimed else "plain")] += weights.get(w) or weights[w[:4] + "*"]
+            elif aimed:
+                out[{"": "threat", "negated": "denied_threat", "reported": "reported_threat"}[mark]] += 1.0
+    return dict(out)
+
+
+def test_grammar_against_a_plain_reading():
+    r = random.Random(3)
+    w = {"fool": 5.0, "fool*": 4.0}
+    for _ in range(3000):
+        words = [r.choice("a the of is you they not said kill hurt fool foolish fooling".split() + ["thing"] * 8) for _ in range(r.randint(1, 25))]
+        assert toxicity.read_clause(words, w) == plain_clause(words, w), words
+
+
 def test_toxicity_on_the_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert toxicity.op3_toxicity(edge, labels).count() == len(EDGE)
