@@ -8,12 +8,17 @@ Copies are collapsed before the join (one row per distinct fingerprint), a bucke
 links rather than all pairs, and a bucket above ``hot_bucket`` rows is resolved by bit-flip neighbours, whose
 number grows in proportion to the bucket. No link is lost in any of the cases.
 
+``similar_classes`` and ``keep_similar`` link texts by a similarity instead of a number of bits: fingerprints are as
+long as blocks are needed, so that texts whose sets of ``shingle`` words have Jaccard similarity ``similarity`` share a
+block with probability ``recall`` or more; those that share one are verified by the Hamming distance of ``SKETCH`` bits.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; null ids take part, but a
 component's id is the smallest non-null id (null if there is none); repeated rows give one output row each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,25 +28,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 BITS = 64
 
 
-def fingerprint(data: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of the UTF-8 bytes of a text, over word shingles, repeats included."""
+def shingle_hashes(data: bytes | None, shingle: int, seed: int = 42) -> list[int]:
     words = (data or b"").lower().split()  # both work on ASCII only, as the definition of a word asks
     if not words:
-        return 0
+        return []
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = [digest(joined[a:b], seed) for a, b in spans]
+        return [digest(b" ".join(words), seed)]
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return [digest(joined[a:b], seed) for a, b in spans]
+
+
+def fingerprint(data: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of the UTF-8 bytes of a text, over word shingles, repeats included."""
+    hashes = shingle_hashes(data, shingle, seed)
+    if not hashes:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
@@ -183,6 +193,146 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now
 
 
+#: Bits by which texts that share a block are verified.
+SKETCH = 192
+
+
+def _disagree(similarity: float) -> float:
+    """Expected share of differing bits between the fingerprints of two sets of that Jaccard similarity (and equal size)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def block_plan(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """(bits of a block, blocks, differing bits of a sketch allowed) for ``n`` texts.
+
+    Blocks are as wide as it takes that unrelated texts share one seldom, and as many as it takes that texts of the asked
+    similarity share one with probability ``(1 + recall) / 2``; the sketch lets as large a part of them pass.
+    """
+    off, each = _disagree(similarity), (1 + recall) / 2
+    width = max(16, n.bit_length())
+    blocks = math.ceil(math.log(1 - each) / math.log(1 - (1 - off) ** width))
+    z = next(z / 100 for z in range(1000) if 0.5 * (1 + math.erf(z / 100 / math.sqrt(2))) >= each)
+    return width, blocks, math.floor(SKETCH * off + z * math.sqrt(SKETCH * off * (1 - off)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def wide_bits(data: bytes | None, shingle: int, longs: int) -> np.ndarray:
+    """SimHash of ``64 * longs`` bits (as zeros and ones) over the distinct word shingles of a text."""
+    hashes = np.unique(np.array(shingle_hashes(data, shingle), dtype=np.uint64))
+    counts = np.zeros(64 * longs, np.int32)
+    with np.errstate(over="ignore"):
+        salts = _mixed(np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, len(hashes), 255):  # 255 ones fit a byte
+        bits = np.unpackbits(_mixed(hashes[at : at + 255, None] ^ salts).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return (2 * counts > len(hashes)).astype(np.uint8)
+
+
+def _node(fps: np.ndarray) -> np.ndarray:
+    """One long for each sketch (rows of longs)."""
+    out = np.zeros(len(fps), np.uint64)
+    for i in range(fps.shape[1]):
+        out = _mixed(out + fps[:, i])
+    return out
+
+
+def _sketch_links(max_bits: int):
+    """For buckets of sketches (key, then its longs): links that connect what is connected within ``max_bits``."""
+
+    def far(x: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x).sum(axis=1, dtype=np.int64) > max_bits
+
+    def flush(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(keys), bool)  # equal sketches of one bucket stand together: each once
+        new[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1]).any(axis=1)
+        keys, fps = keys[new], fps[new]
+        nodes, a, b = _node(fps), [], []
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        small = np.repeat(sizes <= 8, sizes)
+        for lag in range(1, 8):  # small buckets of all keys at once
+            at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
+            at = at[~far(fps[at] ^ fps[at + lag])]
+            a.append(nodes[at])
+            b.append(nodes[at + lag])
+        for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
+            rest = np.arange(s + 1, s + n)
+            queue = [s]
+            while len(rest):
+                x = queue.pop() if queue else None
+                if x is None:
+                    x, rest = int(rest[0]), rest[1:]
+                apart = far(fps[rest] ^ fps[x])
+                if not apart.all():
+                    found = rest[~apart]
+                    a.append(np.full(len(found), nodes[x]))
+                    b.append(nodes[found])
+                    queue += found.tolist()
+                    rest = rest[apart]
+        cat = lambda parts: np.concatenate(parts).astype(np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cat(a)), pa.array(cat(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
+            last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if last or (held and held[0][0][-1] != keys[0]):
+                held.append((keys[:last], fps[:last]))
+                yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            held.append((keys[last:], fps[last:]))
+        if held:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """(id, digest, root) of each row: ``root`` names the class of texts that are connected by links of that similarity."""
+    width, n_blocks, max_bits = block_plan(docs.count(), similarity, recall)
+    longs = math.ceil(max(SKETCH, width * n_blocks) / 64)
+    names = [f"f{i}" for i in range(SKETCH // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        powers = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        order = np.arange(1, n_blocks + 1, dtype=np.uint64) << np.uint64(32)
+        for batch in batches:
+            fps, blocks = np.zeros((batch.num_rows, len(names)), np.uint64), []
+            for i, x in enumerate(batch.column(1)):
+                bits = wide_bits(x.as_py(), shingle, longs)
+                fps[i] = np.packbits(bits[:SKETCH], bitorder="little").view("<u8")
+                key = fps[i].tobytes()
+                if key in seen:  # a task sends the blocks of a fingerprint once
+                    blocks.append(None)
+                else:
+                    seen.add(key)
+                    cut = bits[: width * n_blocks].reshape(n_blocks, width).astype(np.uint64) @ powers
+                    blocks.append(_mixed(cut ^ _mixed(order)).view(np.int64))
+            longs_ = [pa.array(fps[:, k].view(np.int64)) for k in range(len(names))]
+            node = pa.array(_node(fps).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, *longs_, pa.array(blocks, pa.list_(pa.int64()))], names=["id", "digest", "node", *names, "blocks"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"), _digest(F.col(text_col)).alias("digest"))
+    prints = thin.mapInArrow(run, f"id {kind}, digest binary, node bigint, {', '.join(n + ' bigint' for n in names)}, blocks array<bigint>")
+    prints = materialise(prints, "sketches")
+    keyed = prints.where("blocks IS NOT NULL").select(F.explode("blocks").alias("key"), *names)
+    found = keyed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(_sketch_links(max_bits), "a bigint, b bigint")
+    roots = connected_components(found)
+    return prints.select("id", "digest", "node").join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
     """(id, digest, fp) of each row, and (fp, component_id, root) of each fingerprint; ``root`` names its component."""
     prints = materialise(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
@@ -210,15 +360,26 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     return components(docs).select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, hot_bucket: int = 20_000) -> DataFrame:
-    """One row of ``docs`` for each component: the first by id (rows without an id last) and digest of the text.
+def _first_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each root of ``classes`` (id, digest, root): the first by id (rows without an id last) and digest.
 
-    A row is known by id and digest, so rows without an id and rows of one id in several components are kept; rows
-    equal in both are one row.
+    A row is known by id and digest, so rows without an id and rows of one id in several classes are kept; rows equal in
+    both are one row.
     """
-    prints, of = _classes(docs, id_col, text_col, shingle, max_bits, hot_bucket)
-    rows = prints.join(of, "fp").groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = classes.groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("k"))
-    kept = materialise(first.select(F.col("k.id").alias("_id"), F.col("k.digest").alias("_digest"), F.col("k.n").alias("_n")), "kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & _digest(docs[text_col]).eqNullSafe(kept["_digest"]), "left_semi")
-    return out if kept.where("_n > 1").isEmpty() else out.withColumn("_digest", _digest(F.col(text_col))).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    key, mark = fresh(docs, "kept_id"), fresh(docs, "kept_digest")
+    kept = materialise(first.select(F.col("k.id").alias(key), F.col("k.digest").alias(mark), F.col("k.n").alias("n")), "kept")
+    out = docs.join(kept.select(key, mark), docs[id_col].eqNullSafe(kept[key]) & _digest(docs[text_col]).eqNullSafe(kept[mark]), "left_semi")
+    return out if kept.where("n > 1").isEmpty() else out.withColumn(mark, _digest(F.col(text_col))).dropDuplicates([id_col, mark]).drop(mark)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, hot_bucket: int = 20_000) -> DataFrame:
+    """One row of ``docs`` for each component of fingerprints within ``max_bits``."""
+    prints, of = _classes(docs, id_col, text_col, shingle, max_bits, hot_bucket)
+    return _first_of(docs, prints.join(of, "fp").select("id", "digest", "root"), id_col, text_col)
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each class of ``similar_classes``, whose options these are."""
+    return _first_of(docs, similar_classes(docs, id_col, text_col, **options), id_col, text_col)

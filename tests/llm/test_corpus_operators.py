@@ -570,11 +570,49 @@ def test_links_lose_nothing(spark):
         assert classes({k: roots.get(k, k) for k in brute}) == classes(brute)
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_reach_recall_and_leave_others(spark):
+    r = random.Random(88)
+    rows, pairs = [], defaultdict(list)
+    for i in range(900):
+        a = [f"w{r.randrange(5000)}" for _ in range(r.randint(60, 500))]
+        rows.append((10 * i, " ".join(a)))
+        b = list(a)
+        for _ in range(r.randint(0, max(1, len(a) // 22))):
+            at = r.randrange(len(b))
+            b[at : at + 1] = r.choice([[], ["new"], [b[at], "more"]])
+        rows.append((10 * i + 1, " ".join(b)))
+        s = jaccard(a, b)
+        pairs["near" if s >= 0.8 else "far" if s < 0.6 else "between"].append((10 * i, 10 * i + 1))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    root = {x.id: x.root for x in simhash.similar_classes(df).collect()}
+    near = [root[a] == root[b] for a, b in pairs["near"]]
+    assert len(near) > 300 and sum(near) >= 0.95 * len(near)
+    assert len({root[10 * i] for i in range(900)}) == 900  # unrelated texts stay apart
+    far = [root[a] == root[b] for a, b in pairs["far"]]
+    assert sum(far) <= 0.05 * max(1, len(far))
+
+
+def test_similar_texts_in_one_large_group(spark):
+    r = random.Random(89)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k:]])) for i, k in enumerate(r.randrange(300) for _ in range(3000))]
+    rows += [(10_000 + i, " ".join(f"y{r.randrange(10**6)}" for _ in range(100))) for i in range(500)] + [(20_000 + i, None) for i in range(5)]
+    kept = simhash.keep_similar(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == [0, *range(10_000, 10_500), 20_000]
+
+
 def test_keep_one(edge, empty):
     kept = simhash.keep_one(edge)
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and {1, 4, 6, 7} <= set(ids) and not {2, 3, 5} & set(ids)
     assert simhash.op8_simhash(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    again = [r.doc_id for r in simhash.keep_similar(edge.withColumn("_kept_id", F.lit(1)).withColumn("n", F.lit(1))).collect()]
+    assert sorted(again, key=str) == sorted(ids, key=str) and simhash.keep_similar(empty).count() == 0
 
 
 def test_keep_one_keeps_rows_without_an_id(spark):
@@ -586,8 +624,9 @@ def test_keep_one_keeps_rows_without_an_id(spark):
         ([(1, one), (None, one), (None, two), (None, two), (None, three)], [(1, one), (None, two), (None, three)]),
         ([(5, four), (5, five), (5, five), (6, one)], [(5, four), (5, five), (6, one)]),
     ):
-        out = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
-        assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter(want)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        for out in (simhash.keep_one(df), simhash.keep_similar(df)):
+            assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter(want)
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------
