@@ -6,18 +6,22 @@ substrings is within ``max_edits * n`` word edits of it.
 1. Windows. A window within that distance shares a word trigram with the item on a nearby diagonal (by the q-gram
    lemma; shorter items share a shorter gram), so windows of ``n`` words are laid at these places only.
 2. CGK random walk: a window and an item of the same length walk the same random bits; edits become few mismatches.
-3. LSH: ``tables`` times, ``samples`` coordinates of the walk are compared; a match in any table is a candidate. The
-   number of tables follows from ``recall`` at the coordinate agreement ``agreement``.
-4. Every candidate is verified by exact edit distance (bit-parallel, over words).
+3. LSH: a number of times, ``samples`` coordinates of the walk are compared; a match in any of these tables is a
+   candidate. Long items with many edits agree on fewer coordinates, so the number of tables is found for each length:
+   enough that ``recall`` of items with all their allowed edits match (``needed_tables``).
+4. Every candidate is verified by exact edit distance (bit-parallel, over words). Once an item is found, its distance is
+   taken over the whole document, so ``edits`` is the least there is.
 
-The items go to the tasks in blocks whose size is bounded by ``block_bytes``; each block is one pass over the
-documents. Documents are never shuffled.
+The items are cut into blocks of at most ``block_bytes``; each block travels in the closure of its own Python pass, and
+the passes follow each other in one stage. Documents are never shuffled.
 
-Edge cases: null and empty texts are clean; null or empty items are skipped; repeated rows are judged one by one.
+Edge cases: null and empty texts are clean; null or empty items are skipped; of items with one id the nearest counts;
+repeated rows are judged one by one.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -27,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 _WORDS = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 
@@ -79,10 +85,48 @@ def best_distance(item: list[int], text: list[int]) -> int:
     return best
 
 
+@functools.cache
+def _table_hits(n: int, max_edits: float, samples: int, trials: int, seed: int) -> np.ndarray:
+    """For random items and copies with all allowed edits: the share of tables in which some window around the copy matches."""
+    rng, slack = np.random.default_rng(seed), math.floor(max_edits * n)
+    shifts, rows, items = range(-slack, slack + 1), [], []
+    for t in range(trials):
+        fresh = iter(range(10 * t * n + n, 10 * (t + 1) * n + n))  # words that occur nowhere else
+        item = [next(fresh) for _ in range(n)]
+        copy = list(item)
+        for _ in range(slack):
+            at = int(rng.integers(len(copy)))
+            copy[at : at + 1] = ([next(fresh)], [], [copy[at], next(fresh)])[int(rng.integers(3))]
+        text = [next(fresh) for _ in range(slack)] + copy + [next(fresh) for _ in range(n + slack)]
+        rows += [text[slack + s : slack + s + n] for s in shifts]
+        items += [item] * len(shifts)
+    same = cgk(np.array(rows)) == cgk(np.array(items))
+    picks = rng.integers(0, 3 * n, (samples, 256))
+    match = np.ones((len(same), 256), bool)
+    for pick in picks:
+        match &= same[:, pick]
+    return match.reshape(trials, len(shifts), 256).any(axis=1).mean(axis=1)
+
+
+def needed_tables(n: int, max_edits: float, samples: int, recall: float, trials: int = 60, seed: int = 12) -> int:
+    """Tables at which ``recall`` of copies of ``n`` words with all allowed edits match, by simulation of the walk.
+
+    Lengths are rounded up to a grid of steps of a quarter.
+    """
+    size = 4
+    while size < n:
+        size = max(size + 1, size * 5 // 4)
+    miss = 1 - _table_hits(size, max_edits, samples, trials, seed)
+    tables = 1
+    while (miss**tables).mean() > 0.75 * (1 - recall) and tables < 1024:
+        tables = tables + max(1, tables // 8)
+    return tables
+
+
 class Index:
-    """The tables of one block of items."""
+    """The tables of one block of items; ``tables`` gives their number by the length of an item."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float, samples: int, tables: int, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float, samples: int, tables: dict[int, int], seed: int = 11):
         self.max_edits, self.vocab, self.items = max_edits, {}, []
         for key, text in items:
             if ids := [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]:
@@ -100,10 +144,10 @@ class Index:
         self.classes = {}
         for n in {len(ids) for _, ids in self.items}:
             own = [i for i, (_, ids) in enumerate(self.items) if len(ids) == n]
-            picks = rng.integers(0, 3 * n, (tables, samples))
+            picks = rng.integers(0, 3 * n, (tables[n], samples))
             walks = cgk(np.array([self.items[i][1] for i in own], dtype=np.int64))
-            found = [{} for _ in range(tables)]
-            for t in range(tables):
+            found = [{} for _ in range(tables[n])]
+            for t in range(tables[n]):
                 for i, sig in zip(own, walks[:, picks[t]].tolist(), strict=True):
                     found[t].setdefault(tuple(sig), []).append(i)
             self.classes[n] = (picks, found)
@@ -119,9 +163,9 @@ class Index:
             out = out * self.size + x + 1
         return out + (len(ids) << 60)
 
-    def leaks(self, texts: list[str | None]) -> list[dict[int, int]]:
-        """For each text its contaminating items and their distances."""
-        out: list[dict[int, int]] = [{} for _ in texts]
+    def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
+        """For each text its contaminating items: (least distance, words of the item) by id."""
+        out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         get = self.vocab.get
         flat, starts = [], [0]
         for t in texts:
@@ -154,7 +198,7 @@ class Index:
                 self._class(n, every[k : k + 20_000], ids, starts, out)
         return out
 
-    def _class(self, n: int, wins: list[tuple[int, int, int]], ids: np.ndarray, starts: list[int], out: list[dict[int, int]]) -> None:
+    def _class(self, n: int, wins: list[tuple[int, int, int]], ids: np.ndarray, starts: list[int], out: list[dict[int, tuple[int, int]]]) -> None:
         first, doc = np.array([w[0] for w in wins]), [w[1] for w in wins]
         ends = np.array([starts[d + 1] - 2 for d in doc])
         cols = first[:, None] + np.arange(n)[None, :]
@@ -163,27 +207,24 @@ class Index:
         picks, tables = self.classes[n]
         slack = math.floor(self.max_edits * n)
         done: set[tuple[int, int]] = set()
+        known: set[tuple[int, int]] = set()  # (document, item): its distance is exact
         for t, table in enumerate(tables):
             for w, sig in enumerate(map(tuple, walks[:, picks[t]].tolist())):
                 for i in table.get(sig, ()):
                     if (w, i) in done:
                         continue
                     done.add((w, i))
-                    key, item = self.items[i]
-                    best = out[doc[w]].get(key)
-                    if best == 0:
+                    if (doc[w], i) in known:
                         continue
+                    key, item = self.items[i]
                     lo, hi = max(starts[doc[w]], first[w] - slack), min(ends[w], first[w] + n + slack)
                     region = ids[lo:hi].tolist()
                     if len(self.sets[i].difference(region)) > slack:  # each missing word costs an edit
                         continue
-                    d = best_distance(item, region)
-                    if d <= slack and (best is None or d < best):
-                        out[doc[w]][key] = d
-
-
-def table_count(recall: float, agreement: float, samples: int) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples)))
+                    if best_distance(item, region) <= slack:
+                        known.add((doc[w], i))
+                        exact = (best_distance(item, ids[starts[doc[w]] : ends[w]].tolist()), n)
+                        out[doc[w]][key] = min(exact, out[doc[w]].get(key, exact))
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -196,12 +237,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
 
 
-def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = 0.2, recall: float = 0.95, agreement: float = 0.55, samples: int = 4, block_bytes: int = 4 << 20, out_col: str = "leaks") -> DataFrame:
+def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = 0.2, recall: float = 0.95, samples: int = 4, block_bytes: int = 4 << 20, out_col: str = "leaks") -> DataFrame:
     """``docs`` plus ``leaks``: array<struct<item_id, edits, n_words>> of contaminating items, by item_id; empty if clean.
 
     A column of that name in ``docs`` is replaced.
     """
-    tables = table_count(recall, agreement, samples)
     kind = items.schema[item_id].dataType.simpleString()
     docs = docs.drop(out_col)
     out = docs
@@ -209,22 +249,22 @@ def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
         if not block and k:
             continue
+        tables = {n: needed_tables(n, max_edits, samples, recall) for n in {len(words(text)) for _, text in block} - {0}}
+        name = fresh(out, f"{out_col}{k}")
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, name=f"_{out_col}{k}") -> Iterator[pa.RecordBatch]:
-            index, sizes = Index(block, max_edits, samples, tables), {}
-            sizes = {key: len(ids) for key, ids in index.items}
+        def run(batches: Iterator[pa.RecordBatch], block=block, tables=tables, name=name) -> Iterator[pa.RecordBatch]:
+            index = Index(block, max_edits, samples, tables)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 found: list = []
                 for at in range(0, len(texts), 256):
-                    found += [[{"item_id": i, "edits": d, "n_words": sizes[i]} for i, d in sorted(x.items())] for x in index.leaks(texts[at : at + 256].to_pylist())]
+                    found += [[{"item_id": i, "edits": d, "n_words": n} for i, (d, n) in sorted(x.items())] for x in index.leaks(texts[at : at + 256].to_pylist())]
                 key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
                 column = pa.array(found, pa.list_(pa.struct([("item_id", key_type), ("edits", pa.int32()), ("n_words", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-        name = f"_{out_col}{k}"
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(run, f"{schema}, {name} array<struct<item_id: {kind}, edits: int, n_words: int>>")
+        out = out.mapInArrow(run, f"{schema}, `{name}` array<struct<item_id: {kind}, edits: int, n_words: int>>")
         made.append(name)
     return out.select(*docs.columns, F.array_sort(F.flatten(F.array(*made))).alias(out_col))
 
@@ -237,4 +277,5 @@ def op1_decontam(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a leak, in one pass."""
-    return flagged(docs, items, out_col="_leaks", **options).where(F.size("_leaks") == 0).drop("_leaks")
+    name = fresh(docs, "leaks")
+    return flagged(docs, items, out_col=name, **options).where(F.size(name) == 0).drop(name)
