@@ -38,8 +38,8 @@ def _license_sql() -> str:
       SELECT doc_id, 'line' AS k, unnest(range(len(l))) AS no, unnest(l) AS x FROM d
       UNION ALL SELECT doc_id, 'paragraph', unnest(range(len(p))), unnest(p) FROM d WHERE len(p) > 1
       UNION ALL SELECT doc_id, 'text', 0, text FROM d WHERE len(l) > 1),
-    w AS (SELECT doc_id, k, no, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u WHERE length(x) BETWEEN 3 AND 20000),
-    b AS (SELECT doc_id, k, no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) BETWEEN 2 AND 2000),
+    w AS (SELECT doc_id, k, no, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u WHERE length(x) >= 3),
+    b AS (SELECT doc_id, k, no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) >= 2),
     m AS (
       SELECT doc_id, k, no, license, 2.0 * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice
       FROM b JOIN t ON len(b) BETWEEN len(t) * {t / (2 - t)} AND len(t) * {(2 - t) / t})
