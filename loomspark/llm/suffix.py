@@ -14,7 +14,7 @@ after the difference cover has told which of them can tie at all:
    ``length`` bytes, dealt to buckets and sorted in the same way; equal neighbours are repeats.
 3. Each chunk marks the bytes of its repeated suffixes.
 
-Names are Karp-Rabin fingerprints modulo 2**64 from running sums: 48 bits for the cover (a false tie only adds a
+Names are Karp-Rabin fingerprints modulo 2**64 from running sums: 56 bits for the cover (a false tie only adds a
 candidate), 64 bits for the final names. Comparing names instead of bytes is what bounds a bucket's
 memory: it holds numbers and no text. A name that a chunk holds many times is sent once, and the answer is a bit.
 
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of its members. Fixed values.
 PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
-#: Bytes of text in a chunk, and bytes hashed at a time.
-CHUNK_BYTES, PART_BYTES = 6 << 20, 2 << 20
+#: Bytes of text in a chunk, bytes hashed at a time, and bytes of text for a bucket of names.
+CHUNK_BYTES, PART_BYTES, BUCKET_BYTES = 6 << 20, 2 << 20, 16 << 20
 
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(0, (1 << 64) - 1, 256, dtype=np.uint64)
@@ -142,7 +142,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _cover_name(x: np.ndarray) -> np.ndarray:
-    return x >> np.uint64(16)
+    return x >> np.uint64(64 - COVER_BITS)
 
 
 def _cover_names(texts: list[bytes], length: int) -> np.ndarray:
@@ -181,7 +181,7 @@ def _window_names(texts: list[bytes], repeated: Names, length: int) -> Iterator[
             begin += len(texts[i])
 
 
-COVER_BITS, NAME_BITS = 48, 64
+COVER_BITS, NAME_BITS = 56, 64
 _DEALT = "bucket int, chunk int, names binary, twice binary"
 _HEARD = "chunk int, kind int, bucket int, again binary"
 
@@ -195,8 +195,8 @@ def _edges(own: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 def _dealt(chunk: int, found: np.ndarray, bits: int, buckets: int) -> pd.DataFrame:
     """One row for each bucket: the names of a chunk, each once, and which of them it holds more than once."""
     own, counts = np.unique(found, return_counts=True)
-    edges = _edges(own, bits, buckets)
-    rows = [(b, chunk, _pack(own[x:y]), np.packbits(counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+    edges = _edges(own, bits, buckets)  # a chunk sends a row for each bucket that it has names for: at most one a name
+    rows = [(b, chunk, _pack(own[x:y]), np.packbits(counts[x:y] > 1).tobytes()) for b in np.flatnonzero(np.diff(edges)).tolist() for x, y in [edges[b : b + 2]]]
     return pd.DataFrame(rows, columns=["bucket", "chunk", "names", "twice"])
 
 
@@ -258,7 +258,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(8, math.ceil(total / chunk_bytes))
-    buckets = max(16, math.ceil(total / (8 << 20)))
+    buckets = max(16, math.ceil(total / BUCKET_BYTES))
     digest = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
     own = docs.select(F.pmod(F.xxhash64(digest), F.lit(chunks)).cast("int").alias("chunk"), digest.alias("digest"), text.alias("data"))
 
