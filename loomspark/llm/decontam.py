@@ -237,7 +237,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
 
 
-def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = 0.2, recall: float = 0.95, samples: int = 4, block_bytes: int = 4 << 20, out_col: str = "leaks") -> DataFrame:
+def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = 0.2, recall: float = 0.95, samples: int = 3, block_bytes: int = 4 << 20, out_col: str = "leaks") -> DataFrame:
     """``docs`` plus ``leaks``: array<struct<item_id, edits, n_words>> of contaminating items, by item_id; empty if clean.
 
     A column of that name in ``docs`` is replaced.

@@ -107,7 +107,7 @@ def test_leaks_reach_recall_at_all_allowed_edits(n):
     r = random.Random(n)
     items = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(n))) for i in range(20)]
     slack = math.floor(0.2 * n)
-    index = decontam.Index(items, 0.2, 4, {n: decontam.needed_tables(n, 0.2, 4, 0.95)})
+    index = decontam.Index(items, 0.2, 3, {n: decontam.needed_tables(n, 0.2, 3, 0.95)})
     hits, total = 0, 0
     texts, keys = [], []
     for i in range(160):
@@ -668,7 +668,16 @@ def test_license_scan(spark, edge, empty):
         (4, "A text that speaks of the license of a doctor to practise medicine.", "en", "a", 0),
         (5, "licensed under cc by-nc 4.0", "en", "a", 0),
     ]
+    full = "\n\n".join(license.FULL_TEXTS["MIT"])
+    rows += [
+        (6, mit + " " + "x" * 40_000, "en", "a", 0),
+        (7, "*" * 45_000 + "\n" + mit + "\n" + "*" * 45_000, "en", "a", 0),
+        (8, "Copyright (c) 2020 Somebody\n\n" + full, "en", "a", 0),
+        (9, "\n\n".join(license.FULL_TEXTS["BSD-2-Clause"]).replace("HOLDERS", "OWNERS"), "en", "a", 0),
+        (10, "Prose about something else. " * 20_000 + "\n\n" + license.FULL_TEXTS["BSD-3-Clause"][3] + "\n\nmore", "en", "a", 0),
+    ]
     got = {(r.doc_id, r.license) for r in license.op9_license(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {(6, "MIT"), (7, "MIT"), (8, "MIT"), (9, "BSD-2-Clause"), (10, "BSD-3-Clause")} <= got
     assert {(1, "MIT"), (2, "MIT"), (3, "MIT"), (5, "CC-BY-NC-4.0")} <= got and not any(d == 4 for d, _ in got)
     assert license.op9_license(edge).count() == license.op9_license(empty).count() == 0
 
