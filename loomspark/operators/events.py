@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.state import cut
 
 
 def eligible(events: DataFrame, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
@@ -82,6 +83,15 @@ def allocate_uid(rows: DataFrame, existing: DataFrame, tombstones: DataFrame, ke
     return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(top)).withColumn("session_uid", F.col("_top") + F.col("_n")).drop("_top", "_n")
 
 
+def number_rows(rows: DataFrame, order: str, out: str = "nth") -> DataFrame:
+    """``rows`` plus 0, 1, 2... in the order of a column without repeats, numbered in ranges and not in one task."""
+    part = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "numbered")  # ranges are drawn once
+    n = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    start = n.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return part.withColumn("_at", place).join(F.broadcast(start), "_part").withColumn(out, (F.col("_start") + F.col("_at") - 1).cast("bigint")).drop("_part", "_at", "_start")
+
+
 def pair_calls(log: DataFrame, call_id: str = "call_id", phase: str = "phase", time: str = "ts") -> DataFrame:
     """Calls with their results; a call without result is pending."""
     calls = log.where(F.col(phase) == "call").select(call_id, F.col(time).alias("called_at"))

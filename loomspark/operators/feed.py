@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 
+#: Folders, file names and extensions of credentials. Fixed values.
+SECRET_FOLDERS = (".ssh", ".aws", ".gnupg", ".kube", ".docker", ".config/gcloud", "appdata/roaming/microsoft/credentials", "appdata/local/microsoft/credentials")
+SECRET_NAMES = ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "kubeconfig", "credentials", ".netrc", ".pgpass", ".env")
+SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx")
 STATUSES = ("pending", "ok", "failed", "retracted")
 
 
@@ -15,6 +19,19 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
+def sensitive(path: Column) -> Column:
+    """folder, name or extension where a path looks like a credential's, else null. Only the path is looked at."""
+    low = F.lower(F.translate(path, "\\", "/"))
+    name = F.substring_index(low, "/", -1)
+    folder = F.lit(False)
+    for x in SECRET_FOLDERS:
+        folder |= F.contains(F.concat(low, F.lit("/")), F.lit(f"/{x}/"))
+    named = F.lit(False)
+    for x in SECRET_NAMES:
+        named |= (name == x) | name.startswith(f"{x}.")
+    return F.when(folder, "folder").when(named, "name").when(extension(path).isin(*SECRET_EXTENSIONS), "extension")
+
+
 def allowed(ext: Column, override: list[str] | None, config: list[str] | None, registry: list[str]) -> Column:
     """Override before configuration before registry; the first that is set decides."""
     return ext.isin(*(override if override is not None else config if config is not None else registry))

@@ -6,6 +6,7 @@ diversified. Only the last, greedy step runs on grouped pandas, over at most a f
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,12 +55,22 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(units: DataFrame, queries: pd.DataFrame, k: int, exclude: DataFrame | None = None, channel: str = "vec") -> DataFrame:
+#: Queries that travel to the tasks at once, and needles and grams that become a literal.
+QUERY_BLOCK, LITERALS = 2048, 16_384
+
+
+def knn(units: DataFrame, queries: pd.DataFrame | DataFrame, k: int, exclude: DataFrame | None = None, channel: str = "vec") -> DataFrame:
     """Exact nearest neighbours of a stated set of queries (columns query_id, embedding).
 
     Every partition of ``units`` (unit_id, embedding) multiplies its vectors with all queries and keeps k for each query;
-    only those are shuffled. Excluded ids are dropped first, so no over-fetch is needed.
+    only those are shuffled. Excluded ids are dropped first, so no over-fetch is needed. Queries given as a DataFrame
+    are read in blocks of about ``QUERY_BLOCK`` rows; each block is one pass over the units.
     """
+    if isinstance(queries, DataFrame):
+        n = max(1, -(-queries.count() // QUERY_BLOCK))
+        blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", "embedding").orderBy("query_id").toPandas() for i in range(n)]
+        found = [knn(units, block, k, exclude, channel) for block in blocks if len(block)] or [knn(units.limit(0), pd.DataFrame({"query_id": [0], "embedding": [[0.0]]}), k, None, channel)]
+        return functools.reduce(DataFrame.unionByName, found)
     ids = queries["query_id"].tolist()
     q = np.array(queries["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
@@ -89,14 +100,21 @@ def knn(units: DataFrame, queries: pd.DataFrame, k: int, exclude: DataFrame | No
     return top_k(found, k).select("query_id", "unit_id", F.lit(channel).alias("channel"), "score", "rank")
 
 
-def postings(units: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(unit_id, gram, field weight, tf, length) of the trigrams of each text field; kept as a table, it is the text index."""
+def postings(units: DataFrame, weights: dict[str, float], wanted: list[str] | None = None) -> DataFrame:
+    """(unit_id, gram, field weight, tf, length) of the trigrams of each text field; kept as a table, it is the text index.
+
+    Given ``wanted``, only those grams become rows: they are filtered within a text, before anything multiplies.
+    """
     parts = None
     for field, weight in weights.items():
         low = F.lower(F.coalesce(F.col(field), F.lit("")))
         n = F.greatest(F.length(low) - 2, F.lit(0))
         # the length is a column before the rows multiply, or it would be computed for each gram
-        rows = units.select("unit_id", n.alias("len"), low.alias("low")).select("unit_id", "len", F.explode(T.ngrams(F.col("low"), 3)).alias("gram")).groupBy("unit_id", "len", "gram").agg(F.count(F.lit(1)).alias("tf"))
+        texts = units.select("unit_id", n.alias("len"), low.alias("low"))
+        grams = T.ngrams(F.col("low"), 3)
+        if wanted is not None:
+            grams = F.filter(grams, lambda g: g.isin(*wanted) if wanted else F.lit(False))
+        rows = texts.select("unit_id", "len", F.explode(grams).alias("gram")).groupBy("unit_id", "len", "gram").agg(F.count(F.lit(1)).alias("tf"))
         rows = rows.select("unit_id", "gram", F.lit(weight).alias("weight"), "tf", "len")
         parts = rows if parts is None else parts.unionByName(rows)
     return parts
@@ -111,14 +129,15 @@ def gram_search(units: DataFrame, queries: DataFrame, k: int, weights: dict[str,
     asked = queries.select("query_id", F.explode(T.trigrams(F.lower("text"), 16)).alias("gram"))
     sizes = units.select(sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in weights), F.lit(0)).alias("n"))
     stats = sizes.agg(F.count(F.lit(1)).alias("N"), F.greatest(F.avg("n"), F.lit(1.0)).alias("avg_len"))
-    post = postings(units, weights)
-    wanted = F.broadcast(asked.select("gram").distinct())  # at most 16 grams a query
-    hit = post.join(wanted, "gram").groupBy("unit_id", "gram").agg(F.sum(F.col("weight") * F.col("tf")).alias("tf"), F.sum("len").alias("len"))
+    # at most 16 grams a query; more than fit a literal are joined instead
+    few = [r["gram"] for r in asked.select("gram").distinct().limit(LITERALS + 1).collect()]
+    post = postings(units, weights, sorted(few)) if len(few) <= LITERALS else postings(units, weights).join(asked.select("gram").distinct(), "gram")
+    hit = post.groupBy("unit_id", "gram").agg(F.sum(F.col("weight") * F.col("tf")).alias("tf"), F.sum("len").alias("len"))
     df = hit.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    scored = hit.join(F.broadcast(df), "gram").join(F.broadcast(asked), "gram").join(F.broadcast(stats))
+    scored = hit.join(df.join(asked, "gram"), "gram").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    ranked = top_k(scored.groupBy("query_id", "unit_id").agg(F.sum(part).alias("bm25")), k, score="bm25")
+    ranked = top_k(scored.groupBy("query_id", "unit_id").agg(F.round(F.sum(part), 9).alias("bm25")), k, score="bm25")  # the last bits depend on the order of a sum
     by_gram = ranked.select("query_id", "unit_id", F.lit(channel).alias("channel"), (1.0 / F.col("rank")).alias("score"), F.col("rank").cast("int").alias("rank"))
     plain = queries.join(asked.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("text").alias("needle"))
     literal = contains_search(units, plain.select("query_id", "needle"), k, tuple(weights), channel)
@@ -130,7 +149,9 @@ def contains_search(units: DataFrame, needles: DataFrame, k: int, fields: tuple[
     hit = F.lit(False)
     for f in fields:
         hit |= F.coalesce(T.contains_folded(F.col(f), F.col("needle")), F.lit(False))
-    # needles are a handful a query; the condition is evaluated as units stream by
+    # needles are a handful a query: checked to be few, since every unit is compared with each of them as it streams by
+    if needles.limit(LITERALS + 1).count() > LITERALS:
+        raise ValueError(f"more than {LITERALS} needles: ask in several calls")
     found = units.join(F.broadcast(needles), hit).groupBy("query_id", "unit_id").agg(F.count_distinct("needle").cast("double").alias("n"))
     return top_k(found, k, score="n").select("query_id", "unit_id", F.lit(channel).alias("channel"), F.lit(1.0).alias("score"), "rank")
 
@@ -286,7 +307,7 @@ def curate(hits: DataFrame, level: Level = LEVELS[3], most: int = 20) -> DataFra
     return h.where(F.col("_keep") | (none & ~F.col("is_page") & (F.col("_rest") == 1))).drop("_thr", "_kind", "_r", "_pages", "_room", "_seats", "_rest", "_keep")
 
 
-def hybrid(units: DataFrame, queries: DataFrame, query_vectors: pd.DataFrame, values: DataFrame, now: float, k: int = 8, level: Level = LEVELS[3]) -> DataFrame:
+def hybrid(units: DataFrame, queries: DataFrame, query_vectors: pd.DataFrame | DataFrame, values: DataFrame, now: float, k: int = 8, level: Level = LEVELS[3]) -> DataFrame:
     """The whole search over units (unit_id, text, src_id, conversation_id, embedding): one plan for all queries."""
     n = level.candidate_k
     channels = knn(units, query_vectors, n).withColumn("rank", F.col("rank").cast("int"))

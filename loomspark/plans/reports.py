@@ -184,10 +184,10 @@ def call_pairing(s, d):
     return E.pair_calls(e)
 
 
-@query("""WITH p AS (SELECT DISTINCT l_partkey AS turn_key, CAST(l_suppkey AS VARCHAR) AS conversation_id FROM lineitem WHERE l_partkey % 50 = 0), n AS (SELECT turn_key, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1)
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS turn_key, CAST(l_suppkey AS VARCHAR) AS conversation_id FROM lineitem), n AS (SELECT turn_key, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1)
 SELECT p.turn_key, 'li' AS source, p.conversation_id, n.n - 1 AS n_others FROM p JOIN n ON n.turn_key = p.turn_key""")
 def shared_turns(s, d):
-    e = table(s, d, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_partkey").alias("turn_key"), F.lit("li").alias("source"), F.col("l_suppkey").cast("string").alias("conversation_id"))
+    e = table(s, d, "lineitem").select(F.col("l_partkey").alias("turn_key"), F.lit("li").alias("source"), F.col("l_suppkey").cast("string").alias("conversation_id"))
     return E.shared_turns(e)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,34 +15,34 @@ from ..operators import search as S
 from .base import EV, MEM, Registry, docs_as_memories, table, turns_as_events
 
 query = Registry()
-#: The stated queries: vectors of these ids, and these texts.
-VECTOR_IDS = tuple(range(0, 200, 20))
-TEXTS = ((0, "the thing"), (1, "de la"), (2, "und die"), (3, "and of the"))
+#: The stated queries: every vector whose id is divisible by 50 is asked with one of these texts.
+EVERY = 50
+TEXTS = ("the thing", "de la", "und die", "and of the")
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("unit_id"), "embedding")
 
 
-def _query_vectors(s: SparkSession, d: str) -> pd.DataFrame:
-    return _vectors(s, d).where(F.col("unit_id").isin(*VECTOR_IDS)).withColumnRenamed("unit_id", "query_id").toPandas()  # ten rows
+def _query_vectors(s: SparkSession, d: str) -> DataFrame:
+    return _vectors(s, d).where(F.col("unit_id") % EVERY == 0).withColumnRenamed("unit_id", "query_id")
 
 
-def _texts(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(list(TEXTS), "query_id bigint, text string")
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return _query_vectors(s, d).select("query_id", F.get(F.array(*[F.lit(t) for t in TEXTS]), (F.col("query_id") / EVERY % len(TEXTS)).cast("int")).alias("text"))
 
 
-_Q = "q(query_id, text) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{t}')" for i, t in TEXTS) + ")"
+_Q = f"q AS (SELECT vec_id AS query_id, (['" + "', '".join(TEXTS) + f"'])[vec_id // {EVERY} % {len(TEXTS)} + 1] AS text, embedding FROM embeddings WHERE vec_id % {EVERY} = 0)"
 _COS = "greatest(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 0.0)"
 
 
-@query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS unit_id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id IN {VECTOR_IDS}),
+@query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS unit_id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM p) SELECT query_id, unit_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
 def knn_topk(s, d):
     return S.knn(_vectors(s, d), _query_vectors(s, d), 10).select("query_id", "unit_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS unit_id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id IN {VECTOR_IDS} AND e.label <> 0),
+@query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS unit_id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0 AND e.label <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM p) SELECT query_id, unit_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""")
 def knn_excluding(s, d):
     gone = table(s, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("unit_id"))
@@ -77,16 +76,16 @@ def _doc_units(s, d):
 @query(f"""WITH {_Q}, f AS (SELECT q.query_id, d.doc_id AS unit_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS rank FROM documents d, q WHERE contains(lower(d.text), lower(q.text)))
 SELECT query_id, unit_id, 'phrase' AS channel, CAST(1.0 AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 20""")
 def phrase_contains(s, d):
-    return S.contains_search(_doc_units(s, d), _texts(s).withColumnRenamed("text", "needle"), 20, channel="phrase")
+    return S.contains_search(_doc_units(s, d), _texts(s, d).withColumnRenamed("text", "needle"), 20, channel="phrase")
 
 
 def _channels(s, d):
-    vec = S.knn(_vectors(s, d), _query_vectors(s, d).assign(query_id=lambda x: x["query_id"] // 20 % len(TEXTS)).groupby("query_id").head(1), 30).withColumn("rank", F.col("rank").cast("int"))
-    return vec.unionByName(S.contains_search(_doc_units(s, d), _texts(s).withColumnRenamed("text", "needle"), 30, channel="phrase"))
+    vec = S.knn(_vectors(s, d), _query_vectors(s, d), 30).withColumn("rank", F.col("rank").cast("int"))
+    return vec.unionByName(S.contains_search(_doc_units(s, d), _texts(s, d).withColumnRenamed("text", "needle"), 30, channel="phrase"))
 
 
-_CH = f"""{_Q}, qv AS (SELECT vec_id // 20 % {len(TEXTS)} AS query_id, embedding FROM embeddings WHERE vec_id IN {VECTOR_IDS[: len(TEXTS)]}),
-vr AS (SELECT q.query_id, e.vec_id AS unit_id, {_COS} AS score FROM qv q, embeddings e),
+_CH = f"""{_Q},
+vr AS (SELECT q.query_id, e.vec_id AS unit_id, {_COS} AS score FROM q, embeddings e),
 v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM vr),
 f AS (SELECT q.query_id, d.doc_id AS unit_id, 1.0 AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS rank FROM documents d, q WHERE contains(lower(d.text), lower(q.text))),
 ch AS (SELECT query_id, unit_id, 'vec' AS channel, score, rank FROM v WHERE rank <= 30 UNION ALL SELECT query_id, unit_id, 'phrase', score, rank FROM f WHERE rank <= 30),
@@ -115,13 +114,19 @@ def hybrid_search(s, d):
     """The flagship: vector, trigram, identifier and phrase channels, fused, valued, thresholded, diversified."""
     units = _doc_units(s, d).join(_vectors(s, d), "unit_id", "left")  # text channels see documents without a vector
     values = table(s, d, "labels").select(F.col("doc_id").alias("unit_id"), F.when(F.col("quality") == 1, 0.6).otherwise(0.2).alias("value"), F.lit(None).cast("double").alias("manual_value"), F.lit(1704067200.0).alias("time"), F.lit(False).alias("locked"))
-    qv = _query_vectors(s, d).head(len(TEXTS)).assign(query_id=list(range(len(TEXTS))))
-    return S.hybrid(units, _texts(s), qv, values, 1706745600.0).select("query_id", "unit_id", F.round("rel", 5).alias("rel"), "position")
+    return S.hybrid(units, _texts(s, d), _query_vectors(s, d), values, 1706745600.0).select("query_id", "unit_id", F.round("rel", 5).alias("rel"), "position")
 
 
-@query()
+_NOISE = T.NOISE.replace("'", "''") if isinstance(T.NOISE, str) else ""
+
+
+@query(f"""WITH {_Q}, asked AS (SELECT DISTINCT query_id, unnest(list_slice(list_filter({_GRAMS.format("lower(text)")}, lambda g: NOT regexp_full_match(g, '[{_NOISE}]{{3}}')), 1, 16)) AS gram FROM q),
+dx AS (SELECT doc_id AS unit_id, lower(text) AS x, greatest(length(lower(text)) - 2, 0) AS len FROM documents), st AS (SELECT count(*) AS n, greatest(avg(greatest(length(text) - 2, 0)), 1.0) AS avg_len FROM documents),
+g AS (SELECT unit_id, len, unnest(list_transform(range(1, len + 1), lambda i: substr(x, i, 3))) AS gram FROM dx), hit AS (SELECT unit_id, gram, len, count(*) AS tf FROM g WHERE gram IN (SELECT gram FROM asked) GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM hit GROUP BY 1),
+sc AS (SELECT query_id, unit_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))) AS bm FROM hit JOIN df USING (gram) JOIN asked USING (gram), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm, 9) DESC, unit_id) AS rank FROM sc) SELECT query_id, unit_id, round(1.0 / rank, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def gram_bm25(s, d):
-    return S.gram_search(_doc_units(s, d), _texts(s), 20).select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
+    return S.gram_search(_doc_units(s, d), _texts(s, d), 20).select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -195,13 +200,12 @@ def memory_triage(s, d):
     return M.triage(v.select(F.col("unit_id").alias("id")), M.block_pairs(reps, 0.35), 0.45, 0.35, copies)
 
 
-def _link_pages(s, d):
-    return table(s, d, "part").select(F.col("p_partkey").alias("page"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("stem"), F.col("p_name").alias("title"))
-
-
-@query("WITH k AS (SELECT p_name AS key, p_partkey AS page FROM part WHERE p_name <> '') SELECT key, min(page) AS page FROM k GROUP BY key HAVING count(DISTINCT page) = 1")
+@query("WITH k AS (SELECT p_partkey AS page, p_brand || '-' || (p_partkey % 400) AS key FROM part UNION ALL SELECT p_partkey, p_type || '-' || (p_partkey % 40) FROM part) SELECT key, min(page) AS page FROM k GROUP BY key HAVING count(DISTINCT page) = 1")
 def link_unique(s, d):
-    return P.link_index(_link_pages(s, d).select(F.col("title").alias("key"), "page").where("key <> ''"))
+    """Names that stand for one page only, of brands and types with a number."""
+    k = F.col("p_partkey")
+    keys = F.array(F.concat("p_brand", F.lit("-"), k % 400), F.concat("p_type", F.lit("-"), k % 40))
+    return P.link_index(table(s, d, "part").select(k.alias("page"), F.explode(keys).alias("key")))
 
 
 _SENTENCE = "'see [m' || (doc_id % 50) || '] and [m' || (doc_id * 7 % 90) || '] and [m' || (doc_id % 50) || ']'"
@@ -221,17 +225,18 @@ def align_coverage(s, d):
     return P.align(ref_explode(s, d), docs.where("id % 2 = 0"), docs)
 
 
-@query("""WITH c AS (SELECT item_id AS case_id, split_part(text, ' ', 1) AS w FROM benchmark WHERE item_id < 20), h AS (SELECT c.case_id, d.doc_id, row_number() OVER (PARTITION BY c.case_id ORDER BY d.doc_id) AS rank, contains(d.text, c.w) AS good, d.source FROM c, documents d WHERE d.doc_id % 20 = c.case_id),
+@query("""WITH c AS (SELECT item_id AS case_id, split_part(text, ' ', 1) AS w, split_part(text, ' ', 2) AS x FROM benchmark), h AS (SELECT c.case_id, d.doc_id, row_number() OVER (PARTITION BY c.case_id ORDER BY d.doc_id) AS rank, contains(d.text, c.x) AS good, d.source FROM c JOIN documents d ON contains(lower(d.text), lower(c.w))),
 p AS (SELECT case_id, min(CASE WHEN good THEN rank END) AS f, count(*) AS n, count(*) FILTER (source = 'src0') AS g FROM h WHERE rank <= 10 GROUP BY 1)
 SELECT round(avg(CASE WHEN f IS NULL THEN 0 ELSE 1 END), 3) AS recall_at_k, round(avg(coalesce(1.0 / f, 0.0)), 3) AS mrr, round(avg(CASE WHEN coalesce(g, 0) > 0 THEN 1.0 ELSE 0.0 END), 3) AS conv_recall, round(avg(coalesce(g, 0) / greatest(coalesce(n, 1), 1)), 3) AS precision FROM c LEFT JOIN p USING (case_id)""")
 def eval_mrr(s, d):
-    from pyspark.sql import Window
-
+    """Search for the first word of every item; a hit is good if it holds the second."""
     from ..operators import health as H
 
-    c = table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("case_id"), F.array(F.substring_index("text", " ", 1)).alias("expect_any"), F.array(F.lit("src0")).alias("gold"))
-    docs = table(s, d, "documents").select((F.col("doc_id") % 20).alias("case_id"), "doc_id", "text", F.col("source").alias("conversation_id"))
-    h = docs.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id")))
+    b = table(s, d, "benchmark")
+    word = lambda i: F.get(F.split("text", " "), i)
+    c = b.select(F.col("item_id").alias("case_id"), F.array(word(1)).alias("expect_any"), F.array(F.lit("src0")).alias("gold"))
+    hits = S.contains_search(_doc_units(s, d), b.select(F.col("item_id").alias("query_id"), word(0).alias("needle")), 10)
+    h = hits.select(F.col("query_id").alias("case_id"), "unit_id", "rank").join(_doc_units(s, d), "unit_id")
     return H.retrieval_metrics(c, h, 10)
 
 

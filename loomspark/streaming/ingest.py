@@ -26,10 +26,9 @@ def as_units(events: DataFrame) -> DataFrame:
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for an embedding: signed counts of hashed trigrams."""
-    grams = T.trigrams(F.lower(text))
-    h = lambda g: F.xxhash64(g)
-    counts = F.aggregate(grams, F.array_repeat(F.lit(0.0), dim), lambda acc, g: F.transform(acc, lambda x, i: F.when(F.pmod(h(g), F.lit(dim)) == i, x + F.when(h(g) > 0, 1.0).otherwise(-1.0)).otherwise(x)))
-    return F.transform(counts, lambda x: x.cast("float"))
+    hashes = F.transform(T.trigrams(F.lower(text)), lambda g: F.xxhash64(g))
+    signed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dim)) == i), F.lit(0.0), lambda x, h: x + F.when(h > 0, 1.0).otherwise(-1.0)))
+    return F.transform(signed, lambda x: x.cast("float"))
 
 
 def start(spark: SparkSession, inbox: str, out: str, checkpoint: str, schema: str, embed: Callable[[DataFrame], DataFrame] | None = None, max_files: int = 100):
