@@ -84,35 +84,44 @@ def _render(turns: list[tuple[int, str, list[tuple[str, str]]]], cap: bool = Tru
 def slices(events: DataFrame, max_chars: int = MAX_CHARS, max_turns: int = MAX_TURNS) -> DataFrame:
     """(source, conversation_id, slice_key, n_turns, n_chars, content_hash, text) from eligible events with a turn key.
 
-    One conversation is a group: greedy packing needs its turns in order, and a conversation fits a task.
+    Budgets restart every ``max_turns`` turns, so that many turns are a group: turns are numbered by Spark, and only the
+    greedy packing within such a window is a task's own. A conversation of any length is dealt to many tasks.
     """
+    conversation = ["source", "conversation_id"]
+    key = F.coalesce("turn_key", F.concat(F.lit("seq:"), F.col("seq")))
+    e = events.select(*conversation, "seq", "role", "content", key.alias("turn_key"))
+    e = e.withColumn("first_seq", F.min("seq").over(Window.partitionBy(*conversation, "turn_key")))
+    e = e.withColumn("no", F.dense_rank().over(Window.partitionBy(*conversation).orderBy("first_seq", "turn_key")))
+    every = Window.partitionBy(*conversation)
+    whole = (F.sum(F.length("content")).over(every) <= max_chars) & (F.max("no").over(every) <= max_turns)
+    e = e.withColumn("whole", whole).withColumn("win", F.expr(f"(no - 1) div {max_turns}"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
-        turns: dict[str, list[tuple[str, str]]] = {}
-        for key, seq, role, content in zip(pdf["turn_key"], pdf["seq"], pdf["role"], pdf["content"], strict=True):
-            turns.setdefault(key if isinstance(key, str) else f"seq:{seq}", []).append((role, content))
-        keys = list(turns)
-        texts = ["\n".join(c for _, c in turns[k]) for k in keys]
-        sizes = [sum(len(c) for _, c in turns[k]) for k in keys]
-        who = (pdf["source"].iloc[0], pdf["conversation_id"].iloc[0])
-        numbered = [(i + 1, k, turns[k]) for i, k in enumerate(keys)]
+        turns: dict[int, tuple[str, list[tuple[str, str]]]] = {}
+        for no, k, role, content in zip(pdf["no"], pdf["turn_key"], pdf["role"], pdf["content"], strict=True):
+            turns.setdefault(int(no), (k, []))[1].append((role, content))
+        numbered = [(no, k, said) for no, (k, said) in sorted(turns.items())]
+        texts = ["\n".join(c for _, c in said) for _, _, said in numbered]
+        sizes = [sum(len(c) for _, c in said) for _, _, said in numbered]
+        who, w = (pdf["source"].iloc[0], pdf["conversation_id"].iloc[0]), int(pdf["win"].iloc[0])
         out = []
-        if sum(sizes) <= max_chars and len(keys) <= max_turns:
+        if pdf["whole"].iloc[0]:
             text = _render(numbered)
-            out.append((*who, "whole", len(keys), sum(sizes), fingerprint(text), text))
+            out.append((*who, "whole", len(numbered), sum(sizes), fingerprint(text), text))
         else:
-            count: dict[int, int] = {}
-            for w, i, j in cut_points(sizes, texts, max_chars, max_turns):
+            count = 0
+            for _, i, j in cut_points(sizes, texts, max_chars, max_turns):
+                no, k, said = numbered[i]
                 giant = j - i == 1 and sizes[i] > max_chars
-                bodies = [_render([(i + 1, keys[i], [(turns[keys[i]][0][0], piece)])], cap=False) for piece in hard_split(texts[i], max_chars)] if giant else [_render(numbered[i:j])]
+                bodies = [_render([(no, k, [(said[0][0], piece)])], cap=False) for piece in hard_split(texts[i], max_chars)] if giant else [_render(numbered[i:j])]
                 for text in bodies:
-                    count[w] = count.get(w, 0) + 1
-                    out.append((*who, f"w{w}-{count[w]}", j - i, sum(sizes[i:j]), fingerprint(text), text))
+                    count += 1
+                    out.append((*who, f"w{w}-{count}", j - i, sum(sizes[i:j]), fingerprint(text), text))
         return pd.DataFrame(out, columns=["source", "conversation_id", "slice_key", "n_turns", "n_chars", "content_hash", "text"])
 
     schema = "source string, conversation_id string, slice_key string, n_turns int, n_chars bigint, content_hash string, text string"
-    return events.select("source", "conversation_id", "seq", "role", "content", "turn_key").groupBy("source", "conversation_id").applyInPandas(build, schema)
+    return e.drop("first_seq").groupBy(*conversation, "win").applyInPandas(build, schema)
 
 
 def undone(made: DataFrame, done: DataFrame, version: int) -> DataFrame:

@@ -238,7 +238,7 @@ def convert_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except Exception as e:  # one bad file is one failed row
                 row["error"] = f"{type(e).__name__}: {e}"[:300]
             out.append(row)
-        yield pd.DataFrame(out)
+        yield pd.DataFrame(out, dtype=object)
 
 
 def read_documents(spark: SparkSession, path: str, exts: list[str] | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def read_pages(spark: SparkSession, roots: list[str]) -> DataFrame:
 
     out = None
     for root in roots:
-        df = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
         rel = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
         front = T.split_front(F.col("value"))
         df = df.select(F.lit(root).alias("root"), F.decode(F.encode(F.url_decode(rel), "UTF-8"), "UTF-8").alias("rel_path"), front.alias("f"))

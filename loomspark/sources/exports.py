@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def export_jsonl(events: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("source", "conversation_id").option("ignoreNullFields", "true").json(path)
 
 
+def read_audit(spark: SparkSession, path: str, schema: str, last: int, time: str = "ts") -> DataFrame:
+    """The last entries of a log of JSON lines, newest first; lines that are no JSON are left out."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.where("_bad IS NULL").drop("_bad").orderBy(F.desc(time)).limit(last)
+
+
 def event_markdown() -> Column:
     body = F.coalesce("content", "tool_output", F.lit(""))
     return F.concat(F.lit("**"), F.col("role"), F.lit("**\n\n"), body)

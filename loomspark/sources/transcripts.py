@@ -75,7 +75,7 @@ def _rows(path: str, records: Iterator[dict], source: str) -> pd.DataFrame:
     for r in records:
         for e in block_events(r):
             out.append({"source": source, "conversation_id": str(r.get("sessionId") or r.get("session_id") or session), **e})
-    df = pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+    df = pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")], dtype=object)
     df["seq"] = range(len(df))
     return df
 
