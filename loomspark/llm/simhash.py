@@ -193,8 +193,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now
 
 
-#: Bits by which texts that share a block are verified.
-SKETCH = 192
+#: Bits by which texts that share a block are verified, and blocks that are joined before all others.
+SKETCH, FIRST_BLOCKS = 192, 6
 
 
 def _disagree(similarity: float) -> float:
@@ -243,24 +243,23 @@ def _node(fps: np.ndarray) -> np.ndarray:
 
 
 def _sketch_links(max_bits: int):
-    """For buckets of sketches (key, then its longs): links that connect what is connected within ``max_bits``."""
+    """For buckets of sketches (key, label, longs): pairs of labels that connect what is connected within ``max_bits``."""
 
     def far(x: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x).sum(axis=1, dtype=np.int64) > max_bits
 
-    def flush(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def flush(keys: np.ndarray, labels: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(keys), bool)  # equal sketches of one bucket stand together: each once
         new[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1]).any(axis=1)
-        keys, fps = keys[new], fps[new]
-        nodes, a, b = _node(fps), [], []
+        keys, labels, fps = keys[new], labels[new], fps[new]
+        pairs = []
         starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
         small = np.repeat(sizes <= 8, sizes)
         for lag in range(1, 8):  # small buckets of all keys at once
-            at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
+            at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:] & (labels[lag:] != labels[:-lag]))
             at = at[~far(fps[at] ^ fps[at + lag])]
-            a.append(nodes[at])
-            b.append(nodes[at + lag])
+            pairs.append(np.stack([labels[at], labels[at + lag]], axis=1))
         for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
             rest = np.arange(s + 1, s + n)
             queue = [s]
@@ -271,26 +270,27 @@ def _sketch_links(max_bits: int):
                 apart = far(fps[rest] ^ fps[x])
                 if not apart.all():
                     found = rest[~apart]
-                    a.append(np.full(len(found), nodes[x]))
-                    b.append(nodes[found])
+                    others = np.unique(labels[found])
+                    others = others[others != labels[x]]
+                    pairs.append(np.stack([np.full(len(others), labels[x]), others], axis=1))
                     queue += found.tolist()
                     rest = rest[apart]
-        cat = lambda parts: np.concatenate(parts).astype(np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cat(a)), pa.array(cat(b))], names=["a", "b"])
+        every = np.concatenate(pairs).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
+            keys, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
             last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             if last or (held and held[0][0][-1] != keys[0]):
-                held.append((keys[:last], fps[:last]))
+                held.append((keys[:last], labels[:last], fps[:last]))
                 yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
-            held.append((keys[last:], fps[last:]))
+            held.append((keys[last:], labels[last:], fps[last:]))
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -298,7 +298,11 @@ def _sketch_links(max_bits: int):
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """(id, digest, root) of each row: ``root`` names the class of texts that are connected by links of that similarity."""
+    """(id, digest, root) of each row: ``root`` names the class of texts that are connected by links of that similarity.
+
+    ``FIRST_BLOCKS`` are joined first. The classes that they make are labels in the join of all other blocks, where every
+    text is still compared: only pairs of different labels are put out, so a large class sends few of its links.
+    """
     width, n_blocks, max_bits = block_plan(docs.count(), similarity, recall)
     longs = math.ceil(max(SKETCH, width * n_blocks) / 64)
     names = [f"f{i}" for i in range(SKETCH // 64)]
@@ -327,37 +331,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"), _digest(F.col(text_col)).alias("digest"))
     prints = thin.mapInArrow(run, f"id {kind}, digest binary, node bigint, {', '.join(n + ' bigint' for n in names)}, blocks array<bigint>")
     prints = materialise(prints, "sketches")
-    keyed = prints.where("blocks IS NOT NULL").select(F.explode("blocks").alias("key"), *names)
-    found = keyed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(_sketch_links(max_bits), "a bigint, b bigint")
-    roots = connected_components(found)
-    return prints.select("id", "digest", "node").join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
-
-
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(id, digest, fp) of each row, and (fp, component_id, root) of each fingerprint; ``root`` names its component."""
-    prints = materialise(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
-    reps = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    roots = connected_components(links(reps.select("fp"), max_bits, reps.count(), hot_bucket))
-    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    smallest = linked.groupBy("root").agg(F.min("rep").alias("low"))
-    named = linked.join(smallest, "root").select("fp", "low", "root")
-    of = reps.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints, materialise(of, "classes")
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, hot_bucket: int = 20_000) -> DataFrame:
-    """(id, fp, component_id) for each row of ``docs``; the class of a fingerprint holds all its copies."""
-    prints, of = _classes(docs, id_col, text_col, shingle, max_bits, hot_bucket)
-    return prints.join(of, "fp").select("id", "fp", "component_id")
-
-
-def hex16(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def op8_simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of the whole table."""
-    return components(docs).select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    sent = prints.where("blocks IS NOT NULL").select("node", *names, "blocks")
+    linked = lambda keyed: connected_components(keyed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(_sketch_links(max_bits), "a bigint, b bigint"))
+    first = linked(sent.select(F.explode(F.slice("blocks", 1, FIRST_BLOCKS)).alias("key"), F.col("node").alias("label"), *names))
+    first = first.withColumnRenamed("root", "label")
+    named = sent.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    second = linked(named.select(F.explode(F.slice("blocks", FIRST_BLOCKS + 1, max(0, n_blocks - FIRST_BLOCKS))).alias("key"), "label", *names))
+    out = prints.select("id", "digest", "node").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return out.join(second.withColumnRenamed("node", "label"), "label", "left").select("id", "digest", F.coalesce("root", "label").alias("root"))
 
 
 def _first_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
