@@ -303,8 +303,8 @@ def curate(hits: DataFrame, level: Level = LEVELS[3], most: int = 20) -> DataFra
     h = h.withColumn("_seats", F.least(F.lit(level.literal_seats), F.col("_room"), n("low"))).withColumn("_rest", F.row_number().over(Window.partitionBy("query_id", "is_page").orderBy(F.desc("rel"), "unit_id")))
     keep = ((F.col("_kind") == "page") & (F.col("_r") <= F.col("_pages"))) | ((F.col("_kind") == "high") & (F.col("_r") <= F.col("_room") - F.col("_seats"))) | ((F.col("_kind") == "low") & (F.col("_r") <= F.greatest(F.col("_seats"), F.col("_room") - F.least(n("high"), F.col("_room") - F.col("_seats")))))
     h = h.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    none = F.max(F.col("_keep").cast("int")).over(q) == 0
-    return h.where(F.col("_keep") | (none & ~F.col("is_page") & (F.col("_rest") == 1))).drop("_thr", "_kind", "_r", "_pages", "_room", "_seats", "_rest", "_keep")
+    h = h.withColumn("_none", F.max(F.col("_keep").cast("int")).over(q) == 0)
+    return h.where(F.col("_keep") | (F.col("_none") & ~F.col("is_page") & (F.col("_rest") == 1))).drop("_thr", "_kind", "_r", "_pages", "_room", "_seats", "_rest", "_keep", "_none")
 
 
 def hybrid(units: DataFrame, queries: DataFrame, query_vectors: pd.DataFrame | DataFrame, values: DataFrame, now: float, k: int = 8, level: Level = LEVELS[3]) -> DataFrame:

@@ -1,14 +1,192 @@
-"""Hybrid search over documents of which only some have a vector."""
+"""Hybrid search against a plain computation, and over documents of which only some have a vector."""
 
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from loomspark.operators import search as S
 from loomspark.plans import search
 
+TABLES = "/root/testdata/sf0.001"
+
 
 def test_hybrid_search_finds_documents_without_a_vector(spark, tmp_path):
     d = str(tmp_path)
     filler = "plain words about rivers and stones number"
     docs = [(i, f"{filler} {i}", f"src{i}") for i in range(20)] + [(500, "und die katze sitzt hier lange und still", "src90")]
     spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{d}/documents.parquet")
-    vectors = [(i, [float(i == j) + 0.01 for j in range(100)]) for i in range(0, 100, 20)]
+    vectors = [(i, [float(i == j) + 0.01 for j in range(300)]) for i in range(0, 300, 50)]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(500, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    assert 500 in {r.unit_id for r in search.hybrid_search(spark, d).where("query_id = 2").collect()}
+    assert 500 in {r.unit_id for r in search.hybrid_search(spark, d).where("query_id = 100").collect()}
+
+
+def plain_hybrid(docs, vectors, labels, k=8, level=S.LEVELS[3]):
+    unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in vectors.items()}
+    lows = {i: t.lower() for i, (t, _) in docs.items()}
+    grams = {i: Counter(x[j : j + 3] for j in range(len(x) - 2)) for i, x in lows.items()}
+    length = {i: max(len(t) - 2, 0) for i, (t, _) in docs.items()}
+    avg = max(sum(length.values()) / len(docs), 1.0)
+    out = {}
+    for n, q in enumerate(sorted(i for i in vectors if i % 50 == 0)):
+        text, channels = search.TEXTS[q // 50 % 4], defaultdict(list)
+        near = sorted((-max(float(unit[q] @ v), 0.0), i) for i, v in unit.items() if i in docs)[: level.candidate_k]
+        for rank, (s, i) in enumerate(near, 1):
+            channels[i].append((-s, rank))
+        asked = list(dict.fromkeys(text.lower()[j : j + 3] for j in range(len(text) - 2)))[:16]
+        df = {g: sum(g in c for c in grams.values()) for g in asked}
+        score = {}
+        for i, c in grams.items():
+            parts = [max(math.log((len(docs) - df[g] + 0.5) / (df[g] + 0.5)), 1e-6) * c[g] * 2.2 / (c[g] + 1.2 * (0.25 + 0.75 * length[i] / avg)) for g in asked if c[g]]
+            if parts:
+                score[i] = round(sum(parts), 9)
+        for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[: level.candidate_k], 1):
+            channels[i].append((1.0 / rank, rank))
+        w = text.split()
+        needles = [x for x in dict.fromkeys([" ".join(w[j : j + m]) for m in (2, 3) for j in range(len(w) - m + 1)]) if len(x) >= 5][:4]
+        hits = {i: sum(x in low for x in needles) for i, low in lows.items()}
+        for rank, i in enumerate(sorted((i for i in hits if hits[i]), key=lambda i: (-hits[i], i))[: level.candidate_k], 1):
+            channels[i].append((1.0, rank))
+        rows = {}
+        for i, found in channels.items():
+            if i not in docs:
+                continue
+            rel = max(s for s, _ in found) + 0.4 * sum(1.0 / (60 + r) for _, r in found)
+            value = (0.6 if labels[i] == 1 else 0.2) if i in labels else 0.0
+            if i in labels:
+                rel += min(0.3 * value * 0.5 ** ((1706745600 - 1704067200) / 86400 / 30), 0.3)
+            rows[i] = (rel, len(found), max(s for s, _ in found))
+        top = max(r[0] for r in rows.values())
+        left = [(i, r[0]) for i, r in rows.items() if r[0] >= level.threshold_floor * top or (r[1] >= 2 and r[2] >= 0.35)]
+        pool = sorted(left, key=lambda x: (-x[1], x[0]))[: 4 * k]
+        picked, seats = [], Counter()
+        while len(picked) < k:
+            open_ = [(i, rel) for i, rel in pool if i not in picked and seats[docs[i][1]] < 2]
+            if not open_:
+                break
+            far = lambda i: max([float(unit[i] @ unit[p]) for p in picked if i in unit and p in unit] + [0.0])
+            best = max(open_, key=lambda x: (0.7 * x[1] / pool[0][1] - 0.3 * far(x[0]), -pool.index(x)))
+            picked.append(best[0])
+            seats[docs[best[0]][1]] += 1
+        rel = dict(pool)
+        for position, i in enumerate(sorted(picked, key=lambda i: (-rel[i], i)), 1):
+            out[q, i] = (round(rel[i], 5), position)
+    return out
+
+
+def test_hybrid_search_by_a_plain_version(spark):
+    docs = {r.doc_id: (r.text, r.source) for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{TABLES}/embeddings.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{TABLES}/labels.parquet").collect()}
+    got = {(r.query_id, r.unit_id): (r.rel, r.position) for r in search.hybrid_search(spark, TABLES).collect()}
+    want = plain_hybrid(docs, vectors, labels)
+    assert len(want) >= 8 and set(got) == set(want)
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}, abs=2e-5)
+    assert sum(got[key][1] == want[key][1] for key in want) >= len(want) - 2  # a tie in the last bits may swap neighbours
+
+
+def test_nearest_neighbours_in_blocks_of_queries(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    e = r.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "unit_id bigint, embedding array<double>")
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    got = defaultdict(list)
+    for x in S.knn(df, df.where("unit_id % 20 = 0").withColumnRenamed("unit_id", "query_id"), 5).collect():
+        got[x.query_id].append((x.rank, x.unit_id))
+    n = e / np.linalg.norm(e, axis=1, keepdims=True)
+    assert set(got) == set(range(0, 400, 20))
+    for q, found in got.items():
+        sim = np.maximum(n @ n[q], 0)
+        assert [u for _, u in sorted(found)] == sorted(range(400), key=lambda i: (-sim[i], i))[:5]
+
+
+def plain_pages(rows, level):
+    """Which pages are let in, by the rules as they are written."""
+    floor = level.page_floor_ratio * rows[0][1]
+    pages = [(i, rel, bool(set(signals) & {"phrase", "ident", "page_fts", "fts"})) for i, rel, page, signals in rows if page and rel >= floor]
+    high = [i for i, rel, _ in pages if rel >= level.literal_required_below]
+    low = [i for i, rel, literal in pages if rel < level.literal_required_below and literal]
+    first = high[: level.page_quota - level.page_literal_seats]
+    both = first + low[: level.page_quota - len(first)]
+    return set(both + [i for i in high if i not in both][: level.page_quota - len(both)])
+
+
+def test_pages_are_admitted_by_the_rules():
+    import random
+
+    import pandas as pd
+
+    r = random.Random(4)
+    for _ in range(300):
+        rows = sorted(((i, round(r.random(), 3), r.random() < 0.6, r.sample(["vec", "phrase", "fts", "ident"], r.randint(1, 2))) for i in range(r.randint(1, 14))), key=lambda x: (-x[1], x[0]))
+        level = S.LEVELS[r.randint(1, 5)]
+        assert S.admit_pages(pd.DataFrame(rows, columns=["unit_id", "rel", "is_page", "signals"]), level) == plain_pages(rows, level)
+
+
+def plain_curate(rows, level, most):
+    """rows: (id, rel, page, literal), best first."""
+    pages = [x for x in rows if x[2]][: level.page_quota]
+    others = [x for x in rows if not x[2]]
+    room = max(most - len(pages), 0)
+    high = [x for x in others if x[1] >= level.curate_floor * rows[0][1]]
+    low = [x for x in others if x[1] < level.curate_floor * rows[0][1] and x[3]]
+    seats = min(level.literal_seats, room, len(low))
+    kept = high[: room - seats]
+    kept += low[: max(seats, room - len(kept))]
+    if not pages and not kept and others:
+        kept = others[:1]
+    return {x[0] for x in [*pages, *kept]}
+
+
+def test_curation_by_a_plain_version(spark):
+    import random
+
+    r = random.Random(9)
+    rows, want = [], {}
+    level = S.LEVELS[2]
+    for q in range(40):
+        own = sorted(((q * 100 + i, round(r.random(), 3), r.random() < 0.25, r.random() < 0.4) for i in range(r.randint(1, 30))), key=lambda x: (-x[1], x[0]))
+        rows += [(q, i, rel, page, ["phrase"] if literal else ["vec"]) for i, rel, page, literal in own]
+        want[q] = plain_curate(own, level, 8)
+    df = spark.createDataFrame(rows, "query_id bigint, unit_id bigint, rel double, is_page boolean, signals array<string>")
+    got = defaultdict(set)
+    for x in S.curate(df, level, 8).collect():
+        got[x.query_id].add(x.unit_id)
+    assert dict(got) == want
+
+
+def test_slices_hold_every_turn_once_and_keep_the_budget(spark):
+    import random
+
+    from loomspark.operators import memory as M
+
+    r = random.Random(3)
+    rows = []
+    for c in range(6):
+        seq = 0
+        for t in range(r.choice([1, 3, 40])):
+            for role in ("user", "assistant"):
+                rows.append(("x", f"c{c}", seq, role, f"word{c}x{t} " * r.choice([1, 20, 60, 900]), f"k{t}"))
+                seq += 1
+    df = spark.createDataFrame(rows, "source string, conversation_id string, seq int, role string, content string, turn_key string")
+    made = M.slices(df, 2000, 8).collect()
+    for c in {x[1] for x in rows}:
+        own = [x for x in made if x.conversation_id == c]
+        sizes = defaultdict(int)
+        for x in rows:
+            if x[1] == c:
+                sizes[int(x[5][1:])] += len(x[4])
+        if sum(sizes.values()) <= 2000 and len(sizes) <= 8:
+            assert [(x.slice_key, x.n_turns, x.n_chars) for x in own] == [("whole", len(sizes), sum(sizes.values()))]
+            continue
+        order = sorted(own, key=lambda x: [int(n) for n in re.findall(r"\d+", x.slice_key)])
+        seen = []
+        for x in order:
+            turns = [int(n) - 1 for n in re.findall(r"(?m)^### (\d+) ", x.text)]
+            assert len(turns) == x.n_turns and len({t // 8 for t in turns}) == 1
+            assert x.n_chars == sum(sizes[t] for t in turns) and (x.n_turns == 1 or x.n_chars <= 2000)
+            seen += [t for t in turns if not seen or seen[-1] != t]
+        assert seen == sorted(sizes)
