@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 TARGETS = frozenset("you your yours yourself u ur they them their he him she her people everyone du dich dir dein deine ihr euch euer sie ihn tu te toi ton ta tes vous votre vos ils elles eux tú usted ustedes tu tus vosotros ellos ellas".split())
 NEGATIONS = frozenset("not no never neither nor isn't aren't wasn't don't doesn't didn't nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca jamás ningún ninguna tampoco".split())
 REPORTING = frozenset("said says say told claims claimed called calls quoted quote according wrote sagte sagt behauptet zitiert laut nannte dit disait selon raconte cite appelé dijo dice según llamó cita citado".split())
@@ -327,4 +329,5 @@ def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, in one pass."""
-    return scored(docs, model, out_col="_score").where(F.col("_score") < threshold).drop("_score")
+    name = fresh(docs, "toxicity")
+    return scored(docs, model, out_col=name).where(F.col(name) < threshold).drop(name)

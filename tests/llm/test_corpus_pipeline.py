@@ -39,3 +39,27 @@ def test_run_agrees_with_stages(spark):
     again = corpus_pipeline.run(spark, SMALL)
     key = lambda r: (r.doc_id, r.shard, r.slot)
     assert Counter(map(key, out.collect())) == Counter(map(key, again.collect()))
+
+
+def test_stages_on_edge_rows_and_empty_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "a row without an id", "en", "a", 1), (3, "same words in every copy of this text", "en", "a", 1), (4, "same words in every copy of this text", "de", None, 1), (5, "x" * 200_000 + " and some words", "en", "z", 1), (5, "another text of one id", "en", "z", 1), (6, "row", "en", "a", 1), (6, "row", "en", "a", 1)]
+    for name, table, columns in (("labels", [], "doc_id bigint, quality int, toxic int"), ("benchmark", [], "item_id bigint, text string")):
+        spark.createDataFrame(table, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    clash = "_leaks score _score kept_id n h times shard slot _mix_n row cell".split()
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for i, name in enumerate(clash):
+            docs = docs.selectExpr("*", f"{i} AS `{name}`")
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            kept = out.columns if name != "sharding" else [c for c in out.columns if c not in ("shard", "slot", "curve_cell")]
+            assert [c for c in kept] == [c for c in docs.columns if name != "sharding" or c not in ("shard", "slot")]
+            found = Counter((r.doc_id, r.text) for r in out.collect())
+            all_ = Counter((r.doc_id, r.text) for r in docs.collect())
+            if name in ("toxicity", "benchmark_decontamination", "sharding"):
+                assert found == all_, name
+            if name == "simhash_near_dedup" and n:
+                assert found == Counter({(1, None): 1, (None, "a row without an id"): 1, (3, rows[3][1]): 1, (5, rows[5][1]): 1, (5, rows[6][1]): 1, (6, "row"): 1})
+            if name == "mixing":
+                assert set(found) <= set(all_)
