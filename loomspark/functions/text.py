@@ -148,14 +148,15 @@ def redact(c: Column, pii: bool = True) -> Column:
     return c
 
 
-def scan_findings(c: Column, pii: bool = True) -> Column:
-    """array<struct<kind, rule, snippet>>: every rule's matches, eight characters of the head and four of the tail."""
+def scan_findings(c: Column, pii: bool = True, only: tuple[str, ...] | None = None) -> Column:
+    """array<struct<kind, rule, snippet>>: every rule's matches (or those of ``only`` some), eight characters of the head and four of the tail."""
+
     def of(kind: str, name: str, rule: str) -> Column:
         snip = lambda m: F.when(F.length(m) > 16, F.concat(F.substring(m, 1, 8), F.lit("…"), F.right(m, F.lit(4)))).otherwise(m)
         return F.transform(F.regexp_extract_all(c, F.lit(rule), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("rule"), snip(m).alias("snippet")))
 
     rules = [("secret", *r) for r in SECRET_RULES] + [("pii", *r) for r in PII_RULES if pii]
-    return F.concat(*[of(*r) for r in rules])
+    return F.concat(*[of(*r) for r in rules if only is None or r[1] in only])
 
 
 def has_substance(c: Column, least: int = 4) -> Column:
