@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hilbert, html, license, mixing, quality, secrets, simhash, suffix, toxicity
+from . import align, chat, decontam, hilbert, html, license, mixing, quality, secrets, simhash, suffix, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": lambda s, d: simhash.op8_simhash(table(s, d, "documents")),
         "op9_license": lambda s, d: license.op9_license(table(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(table(s, d, "documents")),
+        "op11_chat": lambda s, d: chat.op11_chat(table(s, d, "conversations")),
+        "op12_align": lambda s, d: align.op12_align(table(s, d, "documents")),
+        "op13_whitening": lambda s, d: whitening.op13_whitening(table(s, d, "embeddings")),
     }
 
 
