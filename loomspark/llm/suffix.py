@@ -14,9 +14,12 @@ after the difference cover has told which of them can tie at all:
    ``length`` bytes, dealt to buckets and sorted in the same way; equal neighbours are repeats.
 3. Each chunk marks the bytes of its repeated suffixes.
 
-Names are Karp-Rabin fingerprints modulo 2**64 from running sums: 56 bits for the cover (a false tie only adds a
-candidate), 64 bits for the final names. Comparing names instead of bytes is what bounds a bucket's
-memory: it holds numbers and no text. A name that a chunk holds many times is sent once, and the answer is a bit.
+Names are fingerprints from running sums. For the cover a polynomial modulo 2**64 is enough (a false tie only adds a
+candidate), cut to the bits that the corpus needs. The final names, which decide, are that polynomial and a second one
+modulo the prime 2**31 - 1, 95 bits in all. Bases and the table of bytes are drawn anew for every run, so no texts can be
+made to collide: any two different strings share the second name with a chance below ``length`` in 2**31, and the first
+besides by chance in 2**64. Comparing names instead of bytes is what bounds a bucket's memory: it holds numbers and no
+text. A name that a chunk holds many times is sent once, and the answer is a bit.
 
 Exact copies are collapsed before texts are shuffled (each task sends a text once), so a group of copies weighs as
 much as one text; the rows get their result by the digest of their text. Per chunk and bucket one row of packed
@@ -28,8 +31,10 @@ both places; repeated rows count as copies of each other; an empty table gives a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,42 +49,72 @@ COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: Bytes of text in a chunk, bytes hashed at a time, and bytes of text for a bucket of names.
 CHUNK_BYTES, PART_BYTES, BUCKET_BYTES = 6 << 20, 2 << 20, 16 << 20
 
-_RNG = np.random.default_rng(20240229)
-_TABLE = _RNG.integers(0, (1 << 64) - 1, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
+#: Prime of the second fingerprint: products of two residues fit 64 bits.
+PRIME = (1 << 31) - 1
+
+
+class Prints:
+    """Fingerprints of substrings, from a seed that is drawn for a run and the same in all its tasks."""
+
+    def __init__(self, seed: int):
+        draw = np.random.default_rng(seed)
+        self.table = draw.integers(0, (1 << 64) - 1, 256, dtype=np.uint64)
+        self.base = int(draw.integers(1 << 62, 1 << 63)) * 2 + 1
+        self.back = pow(self.base, -1, 1 << 64)
+        self.small = np.arange(1, 257)
+        self.small_base = int(draw.integers(1 << 20, PRIME - 1))
+        self.small_back = pow(self.small_base, -1, PRIME)
+        self.held: dict[int, np.ndarray] = {}
+
+    def powers(self, base: int, n: int) -> np.ndarray:
+        """base**0 ... base**(n - 1) modulo 2**64."""
+        old = self.held.get(base)
+        if old is None or len(old) < n:
+            out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+            out[0] = 1
+            old = self.held[base] = np.cumprod(out)
+        return old[:n]
+
+    def residues(self, base: int, n: int) -> np.ndarray:
+        """base**0 ... base**(n - 1) modulo PRIME, each step twice as many."""
+        old = self.held.get(-base)
+        if old is None or len(old) < n:
+            old = np.ones(1, np.int64)
+            while len(old) < max(n, 1 << 16):
+                old = np.concatenate([old, old * pow(base, len(old), PRIME) % PRIME])
+            self.held[-base] = old
+        return old[:n]
+
+    def running(self, data: np.ndarray) -> np.ndarray:
+        """Running sums from which ``names`` reads the fingerprint of any substring."""
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.powers(self.base, len(data)), out=out[1:])
+        return out
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n - 1) modulo 2**64."""
-    old = _POWERS.get(base)
-    if old is None or len(old) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[0] = 1
-        old = _POWERS[base] = np.cumprod(out)
-    return old[:n]
+    def running_small(self, data: np.ndarray) -> np.ndarray:
+        """The same for ``seconds``; a sum of residues of 2**32 bytes fits 63 bits."""
+        out = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(self.small[data] * self.residues(self.small_base, len(data)) % PRIME, out=out[1:])
+        return out
 
+    def names(self, sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the ``size`` bytes at the given places; the last mixing step spreads the low bits."""
+        x = (sums[at + size] - sums[at]) * self.powers(self.back, len(sums))[at]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        return x
 
-def running(data: np.ndarray) -> np.ndarray:
-    """Running sums from which ``names`` reads the fingerprint of any substring."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), out=out[1:])
-    return out
+    def seconds(self, sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Second fingerprints, independent of the first."""
+        x = (sums[at + size] - sums[at]) % PRIME * self.residues(self.small_back, len(sums))[at] % PRIME
+        return x.astype(np.uint32)
 
 
-def names(sums: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
-    """Fingerprints of the ``size`` bytes at the given places; the last mixing step spreads the low bits."""
-    n = len(sums)
-    back = _powers(_BACK, n)
-    if isinstance(at, slice):
-        x = (sums[size:] - sums[: n - size])[at] * back[: n - size][at]
-    else:
-        x = (sums[at + size] - sums[at]) * back[at]
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    return x
+@functools.lru_cache(maxsize=2)
+def prints(seed: int) -> Prints:
+    """One for each run and worker: powers are kept."""
+    return Prints(seed)
 
 
 _IS_COVER = np.zeros(PERIOD, bool)
@@ -130,37 +165,51 @@ class Names:
         return out
 
 
-def _pack(x: np.ndarray) -> bytes:
+def _pack(x: np.ndarray, second: np.ndarray | None = None) -> bytes:
     """Ascending names as differences, byte plane by byte plane: the high planes are zeros, which compress away."""
     steps = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    blob = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return blob if second is None else blob + second.astype("<u4").tobytes()
+
 
+def _unpack(blob: bytes, second: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    flat = np.frombuffer(blob, np.uint8)
+    n = len(flat) // (12 if second else 8)
+    steps = np.ascontiguousarray(flat[: 8 * n].reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64), flat[8 * n :].view("<u4") if second else None
 
-def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
+class Distinct:
+    """The distinct names among some, ascending: which they are, how often each occurs and where each name went."""
 
-def _cover_name(x: np.ndarray) -> np.ndarray:
-    return x >> np.uint64(64 - COVER_BITS)
+    def __init__(self, first: np.ndarray, second: np.ndarray | None = None):
+        order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+        a = first[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        if second is not None:
+            b = second[order]
+            new[1:] |= b[1:] != b[:-1]
+        self.first, self.second = a[new], None if second is None else b[new]
+        self.to = np.empty(len(a), np.int64)
+        self.to[order] = np.cumsum(new) - 1
+        self.counts = np.bincount(self.to, minlength=len(self.first))
 
 
-def _cover_names(texts: list[bytes], length: int) -> np.ndarray:
-    size = length - PERIOD + 1
+def _cover_names(texts: list[bytes], length: int, seed: int, bits: int) -> np.ndarray:
+    size, p = length - PERIOD + 1, prints(seed)
     out = []
     for part in _batches(texts, length):
         data = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
         begins = np.cumsum([0] + [len(texts[i]) for i in part[:-1]])
         at = np.concatenate([b + cover_places(len(texts[i]), size) for b, i in zip(begins, part, strict=True)])
-        out.append(_cover_name(names(running(data), at, size)))
+        out.append(p.names(p.running(data), at, size) >> np.uint64(64 - bits))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def candidates(sums: np.ndarray, begin: int, n_bytes: int, repeated: Names, length: int) -> np.ndarray:
-    """Places of a document (from its begin) whose suffix may tie: a repeated cover name lies ahead."""
-    size = length - PERIOD + 1
-    at = cover_places(n_bytes, size)
-    hit = at[repeated.has(_cover_name(names(sums, begin + at, size)))]
+def candidates(cover: np.ndarray, at: np.ndarray, n_bytes: int, repeated: Names, length: int) -> np.ndarray:
+    """Places of a document whose suffix may tie: a repeated name lies ahead among its cover places ``at``."""
+    hit = at[repeated.has(cover)]
     if not len(hit):
         return hit
     marks = np.zeros(n_bytes + 2, np.int32)
@@ -169,34 +218,48 @@ def candidates(sums: np.ndarray, begin: int, n_bytes: int, repeated: Names, leng
     return np.flatnonzero(np.cumsum(marks)[: n_bytes - length + 1] > 0)
 
 
-def _window_names(texts: list[bytes], repeated: Names, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of a text, its candidate places, their names)."""
+def _windows(texts: list[bytes], repeated: Names, length: int, seed: int, bits: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+    """(index of a text, its candidate places) of each text that has any, and both names of all these places in order."""
+    size, p = length - PERIOD + 1, prints(seed)
+    places, first, second = [], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for part in _batches(texts, length):
         data = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
-        sums, begin = running(data), 0
+        sums, begin, here = p.running(data), 0, []
         for i in part:
-            at = candidates(sums, begin, len(texts[i]), repeated, length)
+            at = cover_places(len(texts[i]), size)
+            at = candidates(p.names(sums, begin + at, size) >> np.uint64(64 - bits), at, len(texts[i]), repeated, length)
             if len(at):
-                yield i, at, names(sums, begin + at, length)
+                places.append((i, at))
+                here.append(begin + at)
             begin += len(texts[i])
+        if here:
+            at = np.concatenate(here)
+            first.append(p.names(sums, at, length))
+            second.append(p.seconds(p.running_small(data), at, length))
+    return places, np.concatenate(first), np.concatenate(second)
 
 
-COVER_BITS, NAME_BITS = 56, 64
+NAME_BITS = 64
 _DEALT = "bucket int, chunk int, names binary, twice binary"
 _HEARD = "chunk int, kind int, bucket int, again binary"
 
 
+def cover_bits(n_bytes: int) -> int:
+    """Bits of a cover name: enough that a name is repeated by chance once in 2**16 names."""
+    return min(60, max(32, (n_bytes * len(COVER) // PERIOD).bit_length() + 16))
+
+
 def _edges(own: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Where each bucket begins in a chunk's ascending names; a bucket is a range of names."""
     to = ((own >> np.uint64(bits - 24)) * np.uint64(buckets)) >> np.uint64(24)
     return np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _dealt(chunk: int, found: np.ndarray, bits: int, buckets: int) -> pd.DataFrame:
+def _dealt(chunk: int, own: Distinct, bits: int, buckets: int) -> pd.DataFrame:
     """One row for each bucket: the names of a chunk, each once, and which of them it holds more than once."""
-    own, counts = np.unique(found, return_counts=True)
-    edges = _edges(own, bits, buckets)  # a chunk sends a row for each bucket that it has names for: at most one a name
-    rows = [(b, chunk, _pack(own[x:y]), np.packbits(counts[x:y] > 1).tobytes()) for b in np.flatnonzero(np.diff(edges)).tolist() for x, y in [edges[b : b + 2]]]
+    edges = _edges(own.first, bits, buckets)  # a chunk sends a row for each bucket that it has names for: at most one a name
+    seconds = lambda x, y: None if own.second is None else own.second[x:y]
+    rows = [(b, chunk, _pack(own.first[x:y], seconds(x, y)), np.packbits(own.counts[x:y] > 1).tobytes()) for b in np.flatnonzero(np.diff(edges)).tolist() for x, y in [edges[b : b + 2]]]
     return pd.DataFrame(rows, columns=["bucket", "chunk", "names", "twice"])
 
 
@@ -204,33 +267,27 @@ def _sort_bucket(kind: int):
     """Sort the names of one bucket; each chunk hears, as bits, which of its names are repeated anywhere."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(b) for b in rows["names"]]
-        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)).astype(bool) for t, x in zip(rows["twice"], own, strict=True)]
-        everything = np.sort(np.concatenate(own))
-        again = everything[1:][everything[1:] == everything[:-1]]
-        again = np.unique(np.concatenate([again, *[x[t] for x, t in zip(own, twice, strict=True)]]))
-        del everything
-        out = []
-        for chunk, bucket, x in zip(rows["chunk"], rows["bucket"], own, strict=True):
-            if len(again):
-                hit = again[np.minimum(np.searchsorted(again, x), len(again) - 1)] == x
-                if hit.any():
-                    out.append((chunk, kind, bucket, np.packbits(hit).tobytes()))
+        own = [_unpack(b, kind == 1) for b in rows["names"]]
+        sizes = [len(x) for x, _ in own]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(rows["twice"], sizes, strict=True)])
+        every = Distinct(np.concatenate([x for x, _ in own]), np.concatenate([y for _, y in own]) if kind == 1 else None)
+        again = (every.counts + np.bincount(every.to, weights=twice, minlength=len(every.counts)) > 1)[every.to]
+        ends = np.cumsum(sizes)
+        out = [(chunk, kind, bucket, np.packbits(again[e - n : e]).tobytes()) for chunk, bucket, e, n in zip(rows["chunk"], rows["bucket"], ends, sizes, strict=True) if again[e - n : e].any()]
         return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "again"])
 
     return run
 
 
-def _repeated(found: np.ndarray, heard: pd.DataFrame, kind: int, bits: int, buckets: int) -> Names:
-    """The names of a chunk that its buckets report as repeated."""
-    own = np.unique(found)
-    edges = _edges(own, bits, buckets)
-    hit = np.zeros(len(own), bool)
+def _repeated(own: Distinct, heard: pd.DataFrame, kind: int, bits: int, buckets: int) -> np.ndarray:
+    """Which names of a chunk its buckets report as repeated."""
+    edges = _edges(own.first, bits, buckets)
+    hit = np.zeros(len(own.first), bool)
     heard = heard[heard["kind"] == kind]
     for b, again in zip(heard["bucket"], heard["again"], strict=True):
         x, y = edges[b], edges[b + 1]
         hit[x:y] = np.unpackbits(np.frombuffer(again, np.uint8), count=y - x).astype(bool)
-    return Names(own[hit], bits)
+    return hit
 
 
 def removed(text: bytes, at: np.ndarray, length: int) -> tuple[int, int, str]:
@@ -289,20 +346,22 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys = sorted(held)
         return keys, [bytes(held[k][0]) for k in keys], [held[k][1] > 1 for k in keys]
 
-    def windows(texts: list[bytes], repeated: Names) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        return list(_window_names(texts, repeated, length))
+    seed, bits = secrets.randbits(64), cover_bits(total)
 
-    joined = lambda found: np.concatenate([x for _, _, x in found]) if found else np.empty(0, np.uint64)
+    def known(texts: list[bytes], heard: pd.DataFrame) -> tuple[list[tuple[int, np.ndarray]], Distinct]:
+        """The candidate places of a chunk, and their names, from what it heard of its cover names."""
+        own = Distinct(_cover_names(texts, length, seed, bits))
+        repeated = Names(own.first[_repeated(own, heard, 0, bits, buckets)], bits)
+        places, first, second = _windows(texts, repeated, length, seed, bits)
+        return places, Distinct(first, second)
 
     def sample(rows: pd.DataFrame) -> pd.DataFrame:
-        return _dealt(int(rows["chunk"].iloc[0]), _cover_names(texts_of(rows)[1], length), COVER_BITS, buckets)
+        return _dealt(int(rows["chunk"].iloc[0]), Distinct(_cover_names(texts_of(rows)[1], length, seed, bits)), bits, buckets)
 
     def remaining(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or heard.empty:
-            return _dealt(0, np.empty(0, np.uint64), NAME_BITS, buckets)
-        texts = texts_of(rows)[1]
-        repeated = _repeated(_cover_names(texts, length), heard, 0, COVER_BITS, buckets)
-        return _dealt(int(rows["chunk"].iloc[0]), joined(windows(texts, repeated)), NAME_BITS, buckets)
+            return pd.DataFrame([], columns=["bucket", "chunk", "names", "twice"])
+        return _dealt(int(rows["chunk"].iloc[0]), known(texts_of(rows)[1], heard)[1], NAME_BITS, buckets)
 
     def mark(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -311,10 +370,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys, texts, copied = texts_of(rows)
         places: dict[int, np.ndarray] = {}
         if not heard.empty:
-            repeated = _repeated(_cover_names(texts, length), heard, 0, COVER_BITS, buckets)
-            found = windows(texts, repeated)
-            final = _repeated(joined(found), heard, 1, NAME_BITS, buckets)
-            places = {i: at[final.has(x)] for i, at, x in found}
+            found, own = known(texts, heard)
+            again, at_ = _repeated(own, heard, 1, NAME_BITS, buckets)[own.to], 0
+            for i, at in found:
+                places[i] = at[again[at_ : at_ + len(at)]]
+                at_ += len(at)
         nothing = np.empty(0, np.int64)
         for i, (key, t) in enumerate(zip(keys, texts, strict=True)):
             at = np.arange(len(t) - length + 1) if copied[i] and len(t) >= length else places.get(i, nothing)

@@ -132,10 +132,15 @@ def plain_align(docs):
                         own.append((at, i))
                     ends.append(own)
                 cuts = sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]})
-                last = 0
+                left = [iter(own) for own in ends]
                 for c in cuts:
-                    groups.append([[i for e, i in own if last < e <= c] for own in ends])
-                    last = c
+                    groups.append([])
+                    for tokens in left:
+                        groups[-1].append([])
+                        for e, i in tokens:
+                            groups[-1][-1].append(i)
+                            if e == c:
+                                break
                 links = [(ga[-1], gb[-1]) for ga, gb in groups]
                 n = (len(ta), len(tb))
         counts.update(links)

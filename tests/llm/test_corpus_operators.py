@@ -310,6 +310,30 @@ def test_repeats_by_brute_force(spark):
         assert Counter(tuple(x) for x in got.collect()) == want
 
 
+def test_texts_made_to_collide_stay(spark):
+    """Thue-Morse blocks have one polynomial hash modulo 2**64 for any odd base; the texts below differ in 192 places."""
+    morse = lambda a, b: "".join(chr((a, b)[i.bit_count() % 2]) for i in range(64))
+    pairs = ((121, 62), (74, 60), (82, 121))
+    x, y = "".join(morse(a, b) for a, b in pairs) + "the end.", "".join(morse(b, a) for a, b in pairs) + "the end."
+    r = random.Random(9)
+    say = lambda: "".join(r.choice("abcdefghij klmnop") for _ in range(120))
+    rows = [(1, x), (2, y), (3, x[:150] + say()), (4, y[:150] + say())]
+    assert len(x) == len(y) == 200 and all(n == 0 for n, *_ in brute_repeats([t.encode() for _, t in rows]))
+    got = suffix.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {t.n_removed for t in got.collect()} == {0}
+    for seed in range(50):
+        p = suffix.prints(seed)
+        first, second = [[f(run(np.frombuffer(t.encode(), np.uint8)), np.array([0]), 200)[0] for t in (x, y)] for f, run in ((p.names, p.running), (p.seconds, p.running_small))]
+        assert second[0] != second[1] and first[0] != first[1]
+
+
+def test_second_names_are_polynomials():
+    p, data = suffix.prints(3), np.random.default_rng(1).integers(0, 256, 900).astype(np.uint8)
+    got = p.seconds(p.running_small(data), np.arange(700), 200)
+    for i in (0, 1, 350, 699):
+        assert got[i] == sum((int(c) + 1) * pow(p.small_base, j, suffix.PRIME) for j, c in enumerate(data[i : i + 200])) % suffix.PRIME
+
+
 def test_repeats_on_the_edges(edge, empty):
     out = {r.doc_id: r for r in suffix.op4_suffix(edge).collect()}
     assert out[4].n_removed == out[4].n_bytes and out[1].n_bytes == 0 and out[6].n_removed == 0
