@@ -80,14 +80,24 @@ def _rows(path: str, records: Iterator[dict], source: str) -> pd.DataFrame:
     return df
 
 
+def role_of(role: str | None) -> str:
+    """The role as ``normalize_role`` gives it."""
+    return T.ROLES.get((role or "").strip().lower(), "assistant")
+
+
+def json_record(line: str) -> dict | None:
+    """The object that a line holds; None where it is no JSON object."""
+    try:
+        value = json.loads(line)
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
 def json_records(text: str) -> Iterator[dict]:
-    for line in text.splitlines():
-        try:
-            value = json.loads(line)
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            yield value
+    for line in text.split("\n"):
+        if (record := json_record(line)) is not None:
+            yield record
 
 
 def sqlite_records(data: bytes) -> Iterator[dict]:
