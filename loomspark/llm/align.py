@@ -25,11 +25,11 @@ import functools
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -43,8 +43,31 @@ BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece
 BLOCK = 4 << 20
 #: Splits words, numbers, marks and white space; a fixed value of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Anything but Latin, Greek, Cyrillic, kana, Han and common punctuation, or a run too long for the pattern.
-UNCOMMON = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u0236\\u0391-\\u03a1\\u03a3-\\u03c9\\u0400-\\u0481\\u2010-\\u2027\\u2030-\\u2052\\u3001\\u3002\\u3041-\\u3094\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uff01\\uff0c]|\\s{500}|\\S{5000}")
+#: Latin, Greek, Cyrillic, kana, Han and common punctuation, as ranges: all versions of the pattern agree on them.
+COMMON = ((0x20, 0x7E), (0xA1, 0x236), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x481), (0x2010, 0x2027), (0x2030, 0x2052), (0x3001, 0x3002), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xFF01, 0xFF01), (0xFF0C, 0xFF0C))
+SPACES = (0x09, 0x0A, 0x0D, 0x20)
+#: Class of each code point below 2**16: 0 uncommon, 1 common, 2 white space.
+_CLASS = np.zeros(1 << 16, np.uint8)
+for _low, _high in COMMON:
+    _CLASS[_low : _high + 1] = 1
+_CLASS[list(SPACES)] = 2
+#: Longest runs of white space and of anything else that the pattern is given.
+RUNS = {2: 500, 1: 5000}
+
+
+def common(text: str) -> bool:
+    """Whether a text may take the fast way."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(points) or points.max() >= len(_CLASS):
+        return not len(points)
+    kinds = _CLASS[points]
+    if not kinds.all():
+        return False
+    if len(kinds) < min(RUNS.values()):
+        return True
+    starts = np.flatnonzero(np.diff(kinds, prepend=0))
+    lengths = np.diff(starts, append=len(kinds))
+    return all(lengths[kinds[starts] == k].max(initial=0) < most for k, most in RUNS.items())
 
 
 class ByteLevel:
@@ -70,11 +93,13 @@ class ByteLevel:
         split = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"]
         self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks={b: i for i, b in vocab.items()}, special_tokens={}) if ordered and split else None
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of space and text; None where they don't spell it. Ranks lose no byte."""
         text = " " + text
-        if self.fast is None or UNCOMMON.search(text):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        if self.fast is not None and common(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        ids = np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return ids if spelled(self, ids) == text.encode() else None
 
 
 class Pieces:
@@ -87,8 +112,14 @@ class Pieces:
         n = self.model.get_piece_size()
         self.entries = [bytes([int(s[3:5], 16)]) if self.model.is_byte(i) else s.replace("\u2581", " ").encode() for i in range(n) for s in (self.model.id_to_piece(i),)]
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), dtype=np.int32)
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of space and text; None where they don't spell it."""
+        ids = self.model.encode(text, num_threads=1)
+        return np.array(ids, dtype=np.int32) if b"".join(map(self.entries.__getitem__, ids)) == b" " + text.encode() else None
+
+
+def spelled(t: ByteLevel | Pieces, ids: np.ndarray) -> bytes:
+    return b"".join(map(t.entries.__getitem__, ids.tolist()))
 
 
 @functools.lru_cache(maxsize=4)
@@ -127,20 +158,14 @@ class Aligned:
         at_a = np.arange(len(self.a)) + (b_upto - in_b)[self.a_group]
         at_b = np.arange(len(self.b)) + a_upto[self.b_group]
         ids = np.empty(len(self.a) + len(self.b), dtype=np.int64)
-        mark = np.full(len(ids), ord(","), dtype=np.uint8)
         ids[at_a], ids[at_b] = self.a, self.b
-        mark[at_a[a_upto - 1]], mark[at_b[b_upto - 1]] = ord("|"), ord(";")
-        width = np.ones(len(ids), dtype=np.int64)
-        for p in range(1, 10):
-            width += ids >= 10**p
-        ends = np.cumsum(width + 1)
-        out = np.empty(int(ends[-1]), dtype=np.uint8)
-        out[ends - 1] = mark
-        rest, at, left = ids.copy(), ends - 2, width.copy()
-        while len(rest):
-            out[at] = ord("0") + rest % 10
-            keep = left > 1
-            rest, at, left = rest[keep] // 10, at[keep] - 1, left[keep] - 1
+        # a token is written as its digits and a mark: strings with "," first, then with "|", then with ";"
+        size = 1 << int(ids.max()).bit_length()
+        ids[at_a[a_upto - 1]] += size
+        ids[at_b[b_upto - 1]] += 2 * size
+        text = _written(size).take(pa.array(ids))
+        ends = np.frombuffer(text.buffers()[1], np.int32)[1:]
+        out = text.buffers()[2]
         text, found, begin = memoryview(out), [], 0
         for a_end, b_end in zip(self.a_ends, self.b_ends, strict=True):
             end = int(ends[a_end + b_end - 1]) if a_end + b_end else 0
@@ -149,21 +174,24 @@ class Aligned:
         return found
 
 
+@functools.lru_cache(maxsize=4)
+def _written(size: int) -> pa.StringArray:
+    """Each id below ``size`` with each of the marks."""
+    return pa.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], pa.string())
+
+
 def align(texts: list[str | None], a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> Aligned:
     """Tokens and groups of some documents, found for all of them at once."""
     none = np.zeros(0, dtype=np.int32)
     lists: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     sizes = []
     for text in texts:
-        whole = b" " + (text or "").encode()
-        got = [none, none]
-        if text:
-            got = [t.ids(text) for t in (a, b)]
-            if any(b"".join(map(t.entries.__getitem__, ids.tolist())) != whole for t, ids in zip((a, b), got, strict=True)):
-                got = [none, none]
+        got = [t.ids(text) for t in (a, b)] if text else [None]
+        if any(x is None for x in got):
+            got = [none, none]
         lists[0].append(got[0])
         lists[1].append(got[1])
-        sizes.append(len(whole) if len(got[0]) else 0)
+        sizes.append(1 + len(text.encode()) if len(got[0]) else 0)
     base = np.cumsum([0, *sizes])
     ids, ends, counts, doc_ends = [], [], [], []
     for t, own in zip((a, b), lists, strict=True):
@@ -188,9 +216,9 @@ def _lengths(t: ByteLevel | Pieces) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Slices of the batches (ids, texts) of about ``size`` bytes."""
+    """Slices of the batches (ids, texts) of about ``size`` bytes; a document counts 64 more than it has."""
     for batch in batches:
-        lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
         block = np.cumsum(lengths) // size
         starts = [*np.flatnonzero(np.diff(block, prepend=-1)), len(block)] if len(block) else [0]
         for s, e in zip(starts, starts[1:], strict=False):
@@ -212,58 +240,62 @@ def aligned(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, block: int =
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, groups array<struct<a:array<int>,b:array<int>>>")
 
 
-def linked_blocks(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, block: int = BLOCK) -> DataFrame:
-    """A row for each block: numbers and digests of its documents, their links as places in the block's distinct pairs,
-    and those pairs with their counts. Written once: what a block is called must not change."""
+def linked_blocks(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two tables that are written at once, since what a block is called must not change.
+
+    A row for each document: its numbers, digest, and its links as places among the distinct pairs of its block. A row for
+    each distinct pair of a block (block, at, pair, n) with its count.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, link array<int>"
+    names = ["block", *(c.split()[0] for c in own.split(", ")), "at", "pair", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for i, (ids, texts) in enumerate(_blocks(batches, block)):
             found = align(texts, tokenizer(a), tokenizer(b))
-            pairs, at, n = np.unique(found.links, return_inverse=True, return_counts=True)
-            values = [np.diff(found.a_ends, prepend=0), np.diff(found.b_ends, prepend=0), np.diff(found.group_ends, prepend=0)]
-            columns = [ids, *map(pa.array, values), pa.array(found.digests(), pa.string()), pa.array(at.astype(np.int32)), pa.array(pairs), pa.array(n)]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | i], pa.int64()), *lists], names=["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "link", "pair", "n"])
+            at, pairs = pd.factorize(found.links)
+            ends = pa.array(np.concatenate([[0], found.group_ends]), pa.int32())
+            values = [np.diff(x, prepend=0) for x in (found.a_ends, found.b_ends, found.group_ends)]
+            columns = [ids, *map(pa.array, values), pa.array(found.digests(), pa.string()), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))]
+            name = lambda n, i=i: pa.array(np.full(n, task << 32 | i, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([name(len(ids)), *columns, *(pa.nulls(len(ids), t) for t in (pa.int32(), pa.int64(), pa.int64()))], names=names)
+            if len(pairs):
+                counts = [np.arange(len(pairs), dtype=np.int32), pairs, np.bincount(at)]
+                yield pa.RecordBatch.from_arrays([name(len(pairs)), *(pa.nulls(len(pairs), c.type) for c in columns), *map(pa.array, counts)], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block bigint, doc_id array<{kind}>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, link array<int>, pair array<bigint>, n array<bigint>"
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "aligned")
+    both = materialise(docs.select("doc_id", "text").mapInArrow(run, f"block bigint, {own}, at int, pair bigint, n bigint"), "aligned")
+    return both.where("n_groups IS NOT NULL").select(*names[:-3]), both.where("n IS NOT NULL").select("block", "at", "pair", "n")
 
 
-def pair_counts(blocks: DataFrame) -> DataFrame:
+def pair_counts(pairs: DataFrame) -> DataFrame:
     """(pair, n, best): how many links of the corpus hold an id pair, and whether no pair of its B id has more."""
-    counts = blocks.select(F.explode(F.arrays_zip("pair", "n")).alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.n").alias("n"))
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     own = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))))  # as many rows as A has ids, at most
     return counts.withColumn("best", F.col("n") == own)
 
 
-def link_counts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document."""
-    places = blocks.select("block", F.posexplode("pair").alias("at", "pair"))
-    known = places.join(pair_counts(blocks), "pair").groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("known"))  # a block's own pairs
-    whole = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "link").join(known, "block", "left")
+def link_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document, from ``linked_blocks``."""
+    known = pairs.select("block", "at", "pair").join(pair_counts(pairs), "pair").select(F.col("block").alias("owner"), "at", "n", "best")
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                col = {c: batch.column(c)[i].values for c in batch.schema.names if c != "block"}
-                links = col["link"].to_numpy()
-                ends = np.cumsum(col["n_groups"].to_numpy())
-                known = col["known"]
-                n = np.zeros(0 if known is None else len(known), np.int64)
-                best = n.copy()
-                if known is not None:
-                    at = known.field("at").to_numpy()
-                    n[at], best[at] = known.field("n").to_numpy(), known.field("best").to_numpy(zero_copy_only=False)
-                sums = [np.diff(np.concatenate([[0], np.cumsum(v[links])])[ends], prepend=0) for v in (best, n)]
-                yield pa.RecordBatch.from_arrays([col["doc_id"], col["n_a"], col["n_b"], col["n_groups"], col["n_groups"], *map(pa.array, sums), col["groups_sha256"]], names=names)
+    def run(own: pa.Table, counts: pa.Table) -> pa.Table:
+        own = own.combine_chunks()
+        n, best = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        at = counts.column("at").to_numpy()
+        n[at], best[at] = counts.column("n").to_numpy(), counts.column("best").to_numpy()
+        links = pc.list_flatten(own.column("link")).to_numpy()
+        ends = np.cumsum(own.column("n_groups").to_numpy())
+        sums = [np.diff(np.concatenate([[0], np.cumsum(v[links])])[ends], prepend=0) for v in (best, n)]
+        first = own.select(["doc_id", "n_a", "n_b", "n_groups"]).columns
+        return pa.Table.from_arrays([*first, first[-1], *map(pa.array, sums), own.column("groups_sha256")], names=names)
 
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    kind = blocks.schema["doc_id"].dataType.elementType.simpleString()
-    return whole.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
+    return docs.groupBy("block").cogroup(known.groupBy("owner")).applyInArrow(run, schema)  # a group is a block
 
 
 def op12_align(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES) -> DataFrame:
     """One row for each document, by the contract of the query."""
-    return link_counts(linked_blocks(docs, a, b))
+    return link_counts(*linked_blocks(docs, a, b))

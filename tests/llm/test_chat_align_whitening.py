@@ -163,7 +163,7 @@ def test_align_equals_a_plain_reading(spark):
     cols = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     for docs, size in ((real, align.BLOCK), (ODD, align.BLOCK), (ODD, 50), ([], 50)):
         df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id bigint, text string, pair string")
-        assert rows(align.link_counts(align.linked_blocks(df, block=size)).select(*cols)) == sorted(plain_align(docs), key=repr)
+        assert rows(align.link_counts(*align.linked_blocks(df, block=size)).select(*cols)) == sorted(plain_align(docs), key=repr)
 
 
 def test_align_gives_groups_of_ids(spark):
@@ -178,13 +178,18 @@ def test_align_gives_groups_of_ids(spark):
 def test_ranks_split_as_the_file_does():
     """Every character that takes the fast way, beside letters, numbers, marks and spaces."""
     t = align.ByteLevel(align.BYTE_LEVEL)
-    common = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not align.UNCOMMON.search(chr(c))]
+    common = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and align.common(chr(c))]
     assert t.fast is not None and len(common) > 21_000
     for i in range(0, len(common), 200):
         text = "".join(f"a{c}{c}1{c}, {c}  {c}\n" for c in common[i : i + 200])
         assert t.ids(text).tolist() == t.slow.encode(" " + text, add_special_tokens=False).ids
 
 
+def test_long_runs_take_the_slow_way():
+    assert align.common("") and align.common("a" * 4999 + " " * 499) and not align.common(" " * 500 + "a") and not align.common("b" * 5000)
+    assert not align.common("\U0001f600") and not align.common("\x00") and not align.common("ok \u200b")
+
+
 def test_align_query_has_every_document(spark):
     got = queries.queries()["op12_align"](spark, SMALL)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
