@@ -6,7 +6,6 @@ diversified. Only the last, greedy step runs on grouped pandas, over at most a f
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..sources.state import cut
+from . import index as I
 
 
 @dataclass(frozen=True)
@@ -55,44 +56,51 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries that travel to the tasks at once, and needles and grams that become a literal.
-QUERY_BLOCK, LITERALS = 2048, 16_384
+#: Queries that travel to the tasks at once, needles and grams that become a literal, and needles that are looked for one by one.
+QUERY_BLOCK, LITERALS, FEW = 2048, 16_384, 64
+
+
+def _best(ids: np.ndarray, q: np.ndarray, units: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``x`` for each row of ``q`` (both of unit length), ties by id."""
+    sims = np.maximum(q @ x.T, 0.0)
+    cut = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(q), -1.0)
+    i, j = np.nonzero(sims >= cut[:, None])  # everything that equals the k-th score stays until it is ranked
+    out = pd.DataFrame({"query_id": ids[i], "unit_id": units[j], "score": sims[i, j]})
+    return out.sort_values(["query_id", "score", "unit_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
+def _matrix(pdf: pd.DataFrame, dim: int | None = None) -> tuple[np.ndarray, pd.DataFrame]:
+    """Unit rows of the vectors of ``dim`` entries, and the rows of the frame they are of."""
+    pdf = pdf[pdf["embedding"].map(lambda v: v is not None and (dim is None or len(v) == dim))]
+    x = np.array(pdf["embedding"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), pdf
 
 
 def knn(units: DataFrame, queries: pd.DataFrame | DataFrame, k: int, exclude: DataFrame | None = None, channel: str = "vec") -> DataFrame:
     """Exact nearest neighbours of a stated set of queries (columns query_id, embedding).
 
-    Every partition of ``units`` (unit_id, embedding) multiplies its vectors with all queries and keeps k for each query;
-    only those are shuffled. Excluded ids are dropped first, so no over-fetch is needed. Queries given as a DataFrame
-    are read in blocks of about ``QUERY_BLOCK`` rows; each block is one pass over the units.
+    Up to ``QUERY_BLOCK`` queries travel to the tasks: every partition of ``units`` (unit_id, embedding) multiplies its
+    vectors with all of them and keeps k for each; only those are shuffled. More queries never come to the driver: blocks
+    of queries and blocks of units meet in cells, and each cell keeps k for each of its queries. Excluded ids are dropped
+    first, so no over-fetch is needed.
     """
-    if isinstance(queries, DataFrame):
-        n = max(1, -(-queries.count() // QUERY_BLOCK))
-        blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", "embedding").orderBy("query_id").toPandas() for i in range(n)]
-        found = [knn(units, block, k, exclude, channel) for block in blocks if len(block)] or [knn(units.limit(0), pd.DataFrame({"query_id": [0], "embedding": [[0.0]]}), k, None, channel)]
-        return functools.reduce(DataFrame.unionByName, found)
-    ids = queries["query_id"].tolist()
-    q = np.array(queries["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     if exclude is not None:
         units = units.join(exclude.select("unit_id"), "unit_id", "left_anti")
+    if isinstance(queries, DataFrame):
+        few = queries.select("query_id", "embedding").limit(QUERY_BLOCK + 1).toPandas()
+        if len(few) > QUERY_BLOCK:
+            return top_k(_cells(units, queries, k), k).select("query_id", "unit_id", F.lit(channel).alias("channel"), "score", "rank")
+        queries = few.sort_values("query_id")
+    q, asked = _matrix(queries)
+    ids = asked["query_id"].to_numpy()
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = pd.DataFrame({"query_id": [], "unit_id": [], "score": []})
         for pdf in frames:
-            pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])]
-            if pdf.empty:
-                continue
-            x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            sims = np.maximum(q @ x.T, 0.0)
-            unit = pdf["unit_id"].to_numpy()
-            top = np.argsort(-sims, axis=1, kind="stable")[:, : min(len(unit), k + 64)]
-            # ties at the cut: everything that equals the k-th score stays until the final ranking
-            cut = np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, max(0, sims.shape[1] - k)]
-            rows = [(ids[i], unit[j], sims[i, j]) for i in range(len(ids)) for j in (np.flatnonzero(sims[i] >= cut[i]) if top.shape[1] < sims.shape[1] else top[i])]
-            best = pd.concat([best, pd.DataFrame(rows, columns=best.columns)])
-            best = best.sort_values(["query_id", "score", "unit_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            x, pdf = _matrix(pdf, q.shape[1])
+            if len(pdf) and len(ids):
+                found = _best(ids, q, pdf["unit_id"].to_numpy(), x, k)
+                best = pd.concat([best, found]).sort_values(["query_id", "score", "unit_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if len(best):
             yield best.astype({"query_id": "int64", "unit_id": "int64", "score": "float64"})
 
@@ -100,60 +108,105 @@ def knn(units: DataFrame, queries: pd.DataFrame | DataFrame, k: int, exclude: Da
     return top_k(found, k).select("query_id", "unit_id", F.lit(channel).alias("channel"), "score", "rank")
 
 
-def postings(units: DataFrame, weights: dict[str, float], wanted: list[str] | None = None) -> DataFrame:
-    """(unit_id, gram, field weight, tf, length) of the trigrams of each text field; kept as a table, it is the text index.
+def _cells(units: DataFrame, queries: DataFrame, k: int, block: int = 16_384) -> DataFrame:
+    """(query_id, unit_id, score): the k nearest of each query in every block of units."""
+    n_q, n_u = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (units, block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), every(n_u).alias("ub"))
+    u = units.select("unit_id", "embedding", F.pmod(F.xxhash64("unit_id"), F.lit(n_u)).cast("int").alias("ub"), every(n_q).alias("qb"))
 
-    Given ``wanted``, only those grams become rows: they are filtered within a text, before anything multiplies.
-    """
-    parts = None
-    for field, weight in weights.items():
-        low = F.lower(F.coalesce(F.col(field), F.lit("")))
-        n = F.greatest(F.length(low) - 2, F.lit(0))
-        # the length is a column before the rows multiply, or it would be computed for each gram
-        texts = units.select("unit_id", n.alias("len"), low.alias("low"))
-        grams = T.ngrams(F.col("low"), 3)
-        if wanted is not None:
-            grams = F.filter(grams, lambda g: g.isin(*wanted) if wanted else F.lit(False))
-        rows = texts.select("unit_id", "len", F.explode(grams).alias("gram")).groupBy("unit_id", "len", "gram").agg(F.count(F.lit(1)).alias("tf"))
-        rows = rows.select("unit_id", "gram", F.lit(weight).alias("weight"), "tf", "len")
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
-
-
-def gram_search(units: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None, channel: str = "fts", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": left["query_id"][:0], "unit_id": right["unit_id"][:0], "score": np.empty(0)})]
+        for dim in left["embedding"].map(lambda v: -1 if v is None else len(v)).unique():
+            a, asked = _matrix(left, dim)
+            x, held = _matrix(right, dim)
+            if len(asked) and len(held):
+                out.append(_best(asked["query_id"].to_numpy(), a, held["unit_id"].to_numpy(), x, k))
+        return pd.concat(out)
+
+    return q.groupBy("qb", "ub").cogroup(u.groupBy("qb", "ub")).applyInPandas(meet, "query_id bigint, unit_id bigint, score double")
+
+
+def gram_search(units: DataFrame | None, queries: DataFrame, k: int, weights: dict[str, float] | None = None, channel: str = "fts", k1: float = 1.2, b: float = 0.75, index: I.TextIndex | None = None, group: str | None = None) -> DataFrame:
     """Trigram OR search ranked by BM25; the score is ``1 / rank``. Queries without a usable gram use containment.
 
-    ``queries`` (query_id, text) is a stated set; its grams filter the postings before anything is shuffled.
+    ``queries`` (query_id, text) is a stated set; each distinct text is searched once. Hits come from one pass over the
+    texts, which sends the asked grams only, or from an ``index`` (of one field), which opens the asked grams only;
+    ``group`` then confines the search to a group of units and its statistics.
     """
     weights = weights or {"text": 1.0}
-    asked = queries.select("query_id", F.explode(T.trigrams(F.lower("text"), 16)).alias("gram"))
-    sizes = units.select(sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in weights), F.lit(0)).alias("n"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("N"), F.greatest(F.avg("n"), F.lit(1.0)).alias("avg_len"))
-    # at most 16 grams a query; more than fit a literal are joined instead
-    few = [r["gram"] for r in asked.select("gram").distinct().limit(LITERALS + 1).collect()]
-    post = postings(units, weights, sorted(few)) if len(few) <= LITERALS else postings(units, weights).join(asked.select("gram").distinct(), "gram")
-    hit = post.groupBy("unit_id", "gram").agg(F.sum(F.col("weight") * F.col("tf")).alias("tf"), F.sum("len").alias("len"))
-    df = hit.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    scored = hit.join(df.join(asked, "gram"), "gram").join(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    ranked = top_k(scored.groupBy("query_id", "unit_id").agg(F.round(F.sum(part), 9).alias("bm25")), k, score="bm25")  # the last bits depend on the order of a sum
-    by_gram = ranked.select("query_id", "unit_id", F.lit(channel).alias("channel"), (1.0 / F.col("rank")).alias("score"), F.col("rank").cast("int").alias("rank"))
-    plain = queries.join(asked.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("text").alias("needle"))
-    literal = contains_search(units, plain.select("query_id", "needle"), k, tuple(weights), channel)
-    return by_gram.unionByName(literal)
+    texts = queries.groupBy("text").agg(F.min("query_id").alias("first"))
+    asked = texts.select("first", F.explode(T.trigrams(F.lower("text"), 16)).alias("gram")).select("first", I.code_of(F.col("gram")).alias("code"))
+    # at most 16 grams a query; more than fit a literal are asked in blocks
+    wanted = sorted(r["code"] for r in asked.select("code").distinct().collect())
+    hit = None
+    for block in [wanted[i : i + LITERALS] for i in range(0, len(wanted), LITERALS)] or [[]]:
+        for field, weight in weights.items():
+            rows = index.hits(block, group) if index is not None else I.hits_by_scan(units, block, field)
+            rows = rows.select("unit_id", "code", (F.lit(weight) * F.col("tf")).alias("tf"), "len")
+            hit = rows if hit is None else hit.unionByName(rows)
+    if len(weights) > 1:
+        hit = hit.groupBy("unit_id", "code").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len"))
+    hit = cut(hit, "hits")  # read twice
+    if index is not None:
+        n, length = index.statistics(group)
+    else:
+        size = sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in weights), F.lit(0))
+        n, length = units.select(size.alias("n")).agg(F.count(F.lit(1)), F.greatest(F.avg("n"), F.lit(1.0))).first()
+    df = hit.groupBy("code").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(length or 1.0)))
+    scored = hit.join(df.join(asked, "code"), "code").groupBy("first", "unit_id").agg(F.round(F.sum(part), 9).alias("bm25"))  # the last bits depend on the order of a sum
+    ranked = top_k(scored, k, ("first",), "bm25")
+    by_gram = ranked.join(texts, "first").join(queries, "text").select("query_id", "unit_id", F.lit(channel).alias("channel"), (1.0 / F.col("rank")).alias("score"), F.col("rank").cast("int").alias("rank"))
+    if units is None:
+        return by_gram
+    plain = queries.join(texts.join(asked.select("first").distinct(), "first", "left_anti"), "text", "left_semi").select("query_id", F.col("text").alias("needle"))
+    return by_gram if plain.isEmpty() else by_gram.unionByName(contains_search(units, plain, k, tuple(weights), channel))
+
+
+def needles_in(units: DataFrame, needles: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """(unit_id, needle) of the lower-cased needles that a unit holds in one of the fields.
+
+    A text is lower-cased once. A few needles are looked for one by one, more by an automaton in one pass over the text.
+    """
+    low = units.select("unit_id", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"low{i}") for i, f in enumerate(fields)])
+    low = low.where(F.lit(bool(needles)))
+    if len(needles) <= FEW:
+        held = lambda n: F.greatest(*[F.contains(f"low{i}", F.lit(n)) for i in range(len(fields))], F.lit(False))
+        found = F.array_compact(F.array(*[F.when(held(n), F.lit(n)) for n in needles], F.lit(None).cast("string")))
+        return low.select("unit_id", F.explode(found).alias("needle"))
+    kind = units.schema["unit_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n in needles:
+            if n:
+                automaton.add_word(n, n)
+        automaton.make_automaton()
+        empty = [""] if "" in needles else []
+        for pdf in frames:
+            found = [{n for i in range(len(fields)) for _, n in automaton.iter(row[i + 1])} | set(empty) for row in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"unit_id": pdf["unit_id"].repeat([len(x) for x in found]), "needle": [n for x in found for n in sorted(x)]})
+
+    return low.mapInPandas(run, f"unit_id {kind}, needle string")
 
 
 def contains_search(units: DataFrame, needles: DataFrame, k: int, fields: tuple[str, ...] = ("text",), channel: str = "ident") -> DataFrame:
-    """Literal search of several needles a query: most needles first, then id. The score is 1."""
-    hit = F.lit(False)
-    for f in fields:
-        hit |= F.coalesce(T.contains_folded(F.col(f), F.col("needle")), F.lit(False))
-    # needles are a handful a query: checked to be few, since every unit is compared with each of them as it streams by
-    if needles.limit(LITERALS + 1).count() > LITERALS:
-        raise ValueError(f"more than {LITERALS} needles: ask in several calls")
-    found = units.join(F.broadcast(needles), hit).groupBy("query_id", "unit_id").agg(F.count_distinct("needle").cast("double").alias("n"))
-    return top_k(found, k, score="n").select("query_id", "unit_id", F.lit(channel).alias("channel"), F.lit(1.0).alias("score"), "rank")
+    """Literal search of several needles a query: most needles first, then id. The score is 1.
+
+    Needles are a stated set; each distinct one is looked for once, ``LITERALS`` of them in a pass.
+    """
+    own = needles.where("needle IS NOT NULL").select("query_id", "needle", F.lower("needle").alias("low"))
+    distinct = sorted(r["low"] for r in own.select("low").distinct().collect())
+    found = None
+    for block in [distinct[i : i + LITERALS] for i in range(0, len(distinct), LITERALS)] or [[]]:
+        rows = needles_in(units, block, fields)
+        found = rows if found is None else found.unionByName(rows)
+    rows = found.withColumnRenamed("needle", "low").join(own, "low").groupBy("query_id", "unit_id").agg(F.count_distinct("needle").cast("double").alias("n"))
+    return top_k(rows, k, score="n").select("query_id", "unit_id", F.lit(channel).alias("channel"), F.lit(1.0).alias("score"), "rank")
 
 
 def identifier_search(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:

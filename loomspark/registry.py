@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import browse, changes, reports, search, streams
+from .plans import browse, changes, reports, search, stored, streams
 
-MODULES = (reports, search, streams, browse, changes)
+MODULES = (reports, search, streams, browse, changes, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
