@@ -16,9 +16,9 @@ after the difference cover has told which of them can tie at all:
 
 Names are fingerprints from running sums. For the cover a polynomial modulo 2**64 is enough (a false tie only adds a
 candidate), cut to the bits that the corpus needs. The final names, which decide, are that polynomial and a second one
-modulo the prime 2**31 - 1, 95 bits in all. Bases and the table of bytes are drawn anew for every run, so no texts can be
+modulo the prime 2**31 - 1, 91 bits in all. Bases and the table of bytes are drawn anew for every run, so no texts can be
 made to collide: any two different strings share the second name with a chance below ``length`` in 2**31, and the first
-besides by chance in 2**64. Comparing names instead of bytes is what bounds a bucket's memory: it holds numbers and no
+besides by chance in 2**60. Comparing names instead of bytes is what bounds a bucket's memory: it holds numbers and no
 text. A name that a chunk holds many times is sent once, and the answer is a bit.
 
 Exact copies are collapsed before texts are shuffled (each task sends a text once), so a group of copies weighs as
@@ -234,12 +234,13 @@ def _windows(texts: list[bytes], repeated: Names, length: int, seed: int, bits:
             begin += len(texts[i])
         if here:
             at = np.concatenate(here)
-            first.append(p.names(sums, at, length))
+            first.append(p.names(sums, at, length) >> np.uint64(64 - NAME_BITS))
             second.append(p.seconds(p.running_small(data), at, length))
     return places, np.concatenate(first), np.concatenate(second)
 
 
-NAME_BITS = 64
+#: Bits of a first name; 31 more are the second's.
+NAME_BITS = 60
 _DEALT = "bucket int, chunk int, names binary, twice binary"
 _HEARD = "chunk int, kind int, bucket int, again binary"
 
