@@ -112,8 +112,13 @@ def hits_by_scan(units: DataFrame, wanted: list[int], field: str = "text", block
 class TextIndex:
     """The index in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, unit_kind: str = "bigint"):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.schemas = {
+            "postings": "gram bigint, block bigint, df bigint, places binary, tfs binary, bucket int",
+            "texts": f"block bigint, place int, unit_id {unit_kind}, len bigint, group string",
+            "deletes": f"unit_id {unit_kind}",
+        }
 
     # what a version holds -------------------------------------------------------------------------------------------
 
@@ -130,7 +135,7 @@ class TextIndex:
         state.save_version(self.spark.createDataFrame(segments, _SEGMENT).coalesce(1), f"{self.root}/versions", f"{number:08d}")
 
     def _read(self, name: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/segments/{name}/{table}")
+        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/segments/{name}/{table}")
 
     def _each(self, table: str) -> DataFrame | None:
         out = None
@@ -167,6 +172,8 @@ class TextIndex:
         name = f"{len(state.versions(self.spark, f'{self.root}/versions')):08d}-{uuid.uuid4().hex[:8]}"
         place = f"{self.root}/segments/{name}"
         kind = units.schema["unit_id"].dataType.simpleString()
+        if self.schemas["deletes"] != f"unit_id {kind}":
+            raise ValueError(f"the index holds units by {self.schemas['deletes']}, not {kind}")
         low = units.select("unit_id", (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("group"), F.lower(F.coalesce(F.col(field), F.lit(""))).alias("low"))
         buckets = self.buckets
         names = ["block", "unit_id", "place", "len", "group", "gram", "df", "places", "tfs"]
@@ -208,7 +215,8 @@ class TextIndex:
 
     def _write_postings(self, postings: DataFrame, place: str) -> None:
         bucket = F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int")
-        dealt = postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("gram", "block"), F.lit(4)))
+        # Spark splits a bucket that is too large for a task and lets small ones share one
+        dealt = postings.withColumn("bucket", bucket).hint("rebalance", "bucket")
         dealt.sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{place}/postings")
 
     def merge(self) -> str:

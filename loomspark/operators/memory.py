@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..sources.state import cut
+from .packing import packed
 
 MAX_CHARS, MAX_TURNS, MESSAGE_CHARS, LOOK_BACK = 24_000, 16, 2_000, 4
 SIGNS = {"positive": 1, "negative": -1, "neutral": 0}
@@ -297,16 +298,5 @@ def pending_projections(memories: DataFrame, units: DataFrame) -> DataFrame:
 
 def packs(entries: DataFrame, budget: int = 60_000, overhead: int = 60) -> DataFrame:
     """``entries`` (group, id, content) plus the number of the batch that greedy packing puts each in."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        batch, total, out = 0, 0, []
-        for n in pdf["n"]:
-            if total and total + n + overhead > budget:
-                batch, total = batch + 1, 0
-            total += n + overhead
-            out.append(batch)
-        return pdf.assign(batch=out)[["group", "id", "batch"]]
-
     sizes = entries.select(F.col("group").cast("string").alias("group"), F.col("id").cast("bigint").alias("id"), F.length("content").alias("n"))
-    return sizes.groupBy("group").applyInPandas(fill, "group string, id bigint, batch int")
+    return packed(sizes, budget, overhead).select("group", "id", F.col("batch").cast("int").alias("batch"))

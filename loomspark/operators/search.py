@@ -72,7 +72,7 @@ def _best(ids: np.ndarray, q: np.ndarray, units: np.ndarray, x: np.ndarray, k: i
 def _matrix(pdf: pd.DataFrame, dim: int | None = None) -> tuple[np.ndarray, pd.DataFrame]:
     """Unit rows of the vectors of ``dim`` entries, and the rows of the frame they are of."""
     pdf = pdf[pdf["embedding"].map(lambda v: v is not None and (dim is None or len(v) == dim))]
-    x = np.array(pdf["embedding"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+    x = np.array(pdf["embedding"].tolist(), dtype=np.float64).reshape(len(pdf), -1) if len(pdf) else np.zeros((0, dim or 1))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), pdf
 
 

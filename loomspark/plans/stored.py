@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as I
+from ..operators import packing as P
 from ..operators import search as S
+from ..operators import vectors as V
 from ..sources import transcript_source as X
 from ..sources.state import shared_dir
 from .base import Registry, table
-from .search import _GRAMS, _NOISE, _Q, _texts
+from .search import _GRAMS, _NOISE, _Q, EVERY, _query_vectors, _texts, _vectors
 
 query = Registry()
 
@@ -78,4 +80,55 @@ def index_subset(s, d):
     return S.gram_search(None, _texts(s, d), 20, index=index, group="src0").select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def vector_index_knn(s, d):
+    """Nearest neighbours off the kept index: one half of the vectors built in, the other half added."""
+    v = _vectors(s, d)
+    index = V.VectorIndex(s, _place(s, "vectors")).build(v.where("unit_id % 2 = 0"))
+    index.add(v.where("unit_id % 2 = 1"))
+    return index.search(_query_vectors(s, d), 10).select("query_id", "unit_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query()
+def triage_stored(s, d):
+    """Every fiftieth memory is new and judged against all others, which are in the index."""
+    v = _vectors(s, d)
+    top = v.count()
+    index = V.VectorIndex(s, _place(s, "vectors")).build(v.where(f"unit_id % {EVERY} <> 0"))
+    new = v.where(f"unit_id % {EVERY} = 0").withColumn("unit_id", F.col("unit_id") + top)  # new ids come after stored ones
+    return V.triage_new(index, new, 0.45, 0.35)
+
+
+def _packs_sql(source: str, k: int) -> str:
+    """Common table expressions p{k} (grp, id, n, batch): next-fit packing of ``source`` (grp, id, n)."""
+    return f"""s{k} AS (SELECT grp, id, n, n + 60 AS c, row_number() OVER (PARTITION BY grp ORDER BY id) AS r FROM {source}),
+p{k} AS (SELECT grp, id, n, r, c AS fill, 0 AS batch FROM s{k} WHERE r = 1
+  UNION ALL SELECT s.grp, s.id, s.n, s.r, CASE WHEN p.fill + s.c > 60000 THEN s.c ELSE p.fill + s.c END, CASE WHEN p.fill + s.c > 60000 THEN p.batch + 1 ELSE p.batch END FROM p{k} p JOIN s{k} s ON s.grp = p.grp AND s.r = p.r + 1)"""
+
+
+def _next_sql(k: int) -> str:
+    """The entries of the round after k: batches of more than one entry at half their size, of groups that have several."""
+    return f"""e{k} AS (SELECT grp, min(id) AS id, CASE WHEN count(*) > 1 THEN CAST(sum(n) AS BIGINT) // 2 ELSE CAST(sum(n) AS BIGINT) END AS n, batch FROM p{k} GROUP BY grp, batch),
+t{k} AS (SELECT grp, id, n FROM e{k} WHERE grp IN (SELECT grp FROM e{k} WHERE batch > 0) AND EXISTS (SELECT 1 FROM p{k} GROUP BY grp, batch HAVING count(*) > 1))"""
+
+
+_ENTRIES = "d AS (SELECT source AS grp, doc_id AS id, CAST(length(text) AS BIGINT) AS n FROM documents)"
+
+
+@query(f"WITH RECURSIVE {_ENTRIES}, {_packs_sql('d', 1)} SELECT grp AS source, id AS doc_id, CAST(batch AS BIGINT) AS batch FROM p1")
+def merge_packs(s, d):
+    """Documents of a source packed in order into prompts of 60,000 characters."""
+    entries = table(s, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    return P.packed(entries).select(F.col("group").alias("source"), F.col("id").alias("doc_id"), "batch")
+
+
+@query(f"""WITH RECURSIVE {_ENTRIES}, {_packs_sql('d', 1)}, {_next_sql(1)}, {_packs_sql('t1', 2)}, {_next_sql(2)}, {_packs_sql('t2', 3)}
+SELECT grp AS source, id AS doc_id, 1 AS round, CAST(batch AS BIGINT) AS batch FROM p1 UNION ALL SELECT grp, id, 2, CAST(batch AS BIGINT) FROM p2 UNION ALL SELECT grp, id, 3, CAST(batch AS BIGINT) FROM p3""")
+def merge_rounds(s, d):
+    """Three rounds of merging, in which a merge leaves half of what went in."""
+    entries = table(s, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    half = lambda df: df.select("group", "batch", F.floor(F.col("n") / 2).alias("n"))
+    return P.merge_rounds(entries, half).select(F.col("group").alias("source"), F.col("id").alias("doc_id"), "round", "batch")
+
+
 QUERIES, ORACLE = query.queries, query.oracle
