@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as I
+from ..operators import materials as A
 from ..operators import packing as P
 from ..operators import search as S
 from ..operators import vectors as V
@@ -131,4 +132,27 @@ def merge_rounds(s, d):
     return P.merge_rounds(entries, half).select(F.col("group").alias("source"), F.col("id").alias("doc_id"), "round", "batch")
 
 
+#: Actions of the documents' numbers; converted is the most frequent.
+_ACTIONS = ("ingest", "converted", "converted", "ingest", "error", "retry", "converted", "reconvert", "ingest", "converted", "retract", "ingest", "converted", "error", "forget", "odd")
+_ACTION_SQL = "(['" + "', '".join(_ACTIONS) + "'])[n_chars % 16 + 1]"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT source AS doc, doc_id AS no, {_ACTION_SQL} AS action, lang AS sha, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+w AS (SELECT doc, no, action, sha, r, 'none' AS before, CASE WHEN action = 'ingest' THEN 'pending' ELSE 'none' END AS after, action = 'ingest' AS legal, CASE WHEN action = 'ingest' THEN sha END AS held FROM c WHERE r = 1
+  UNION ALL SELECT c.doc, c.no, c.action, c.sha, c.r, w.after,
+    CASE WHEN c.action = 'ingest' THEN CASE WHEN w.after = 'ok' AND w.held = c.sha THEN 'ok' ELSE 'pending' END
+      WHEN c.action = 'converted' AND w.after = 'pending' THEN 'ok' WHEN c.action = 'error' AND w.after = 'pending' THEN 'failed' WHEN c.action = 'retry' AND w.after = 'failed' THEN 'pending'
+      WHEN c.action = 'reconvert' AND w.after IN ('ok', 'failed') THEN 'pending' WHEN c.action = 'retract' AND w.after IN ('pending', 'ok', 'failed') THEN 'retracted' WHEN c.action = 'forget' THEN 'none' ELSE w.after END,
+    c.action = 'ingest' OR (c.action IN ('converted', 'error') AND w.after = 'pending') OR (c.action = 'retry' AND w.after = 'failed') OR (c.action = 'reconvert' AND w.after IN ('ok', 'failed'))
+      OR (c.action = 'retract' AND w.after IN ('pending', 'ok', 'failed')) OR (c.action = 'forget' AND w.after <> 'none'),
+    CASE WHEN c.action = 'ingest' THEN c.sha WHEN c.action = 'forget' THEN NULL ELSE w.held END
+  FROM w JOIN c ON c.doc = w.doc AND c.r = w.r + 1)
+SELECT doc, no, action, before, after, legal FROM w""")
+def material_commands(s, d):
+    """Documents as commands on their source, in the order of their ids: the state before and after each."""
+    action = F.get(F.array(*map(F.lit, _ACTIONS)), (F.col("n_chars") % 16).cast("int"))
+    commands = table(s, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("no"), action.alias("action"), F.col("lang").alias("sha"))
+    return A.folded(commands).select("doc", "no", "action", "before", "after", "legal")
+
+
 QUERIES, ORACLE = query.queries, query.oracle
