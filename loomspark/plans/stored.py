@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as I
 from ..operators import materials as A
+from ..operators import nested as N
 from ..operators import packing as P
 from ..operators import search as S
 from ..operators import vectors as V
@@ -155,4 +156,17 @@ def material_commands(s, d):
     return A.folded(commands).select("doc", "no", "action", "before", "after", "legal")
 
 
+@query("""WITH n AS (SELECT conv_id, turn, role, length(text) AS len FROM conversations),
+v AS (SELECT conv_id, '$.conv' AS path, CAST(conv_id AS BIGINT) AS value FROM (SELECT DISTINCT conv_id FROM n)
+  UNION ALL SELECT conv_id, '$.turns[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '].n', turn FROM n
+  UNION ALL SELECT conv_id, '$.turns[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '].about.size.len', CAST(len AS BIGINT) FROM n)
+SELECT conv_id, path, value FROM v""")
+def nested_ints(s, d):
+    """Conversations as nested JSON documents, and all whole numbers in them."""
+    about = F.struct(F.struct(F.length("text").alias("len")).alias("size"), "role")
+    turns = F.sort_array(F.collect_list(F.struct(F.col("turn").alias("n"), about.alias("about"))))
+    docs = table(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.first("conv_id").alias("conv"), turns.alias("turns"))).alias("j"))
+    return N.flat_ints(docs, "j", ["conv_id"])
+
+
 QUERIES, ORACLE = query.queries, query.oracle
