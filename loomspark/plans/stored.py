@@ -13,6 +13,7 @@ from ..operators import nested as N
 from ..operators import packing as P
 from ..operators import search as S
 from ..operators import vectors as V
+from ..sources import convert as C
 from ..sources import transcript_source as X
 from ..sources.state import shared_dir
 from .base import Registry, table
@@ -169,4 +170,13 @@ def nested_ints(s, d):
     return N.flat_ints(docs, "j", ["conv_id"])
 
 
+@query("SELECT page_id, substr(sha256(html), 1, 16) AS doc_id, 'html' AS kind, CAST(NULL AS VARCHAR) AS error FROM pages WHERE html IS NOT NULL")
+def pages_converted(s, d):
+    """Pages through the converters, in SQL; their names say nothing of what they hold."""
+    C.register(s)
+    view = f"pages_{uuid.uuid4().hex}"
+    table(s, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content")).createOrReplaceTempView(view)
+    return s.sql(f"SELECT f.page_id, d.doc_id, d.kind, d.error FROM {view} f, LATERAL convert_document('page', f.content) d")
+
+
 QUERIES, ORACLE = query.queries, query.oracle
