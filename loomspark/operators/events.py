@@ -77,10 +77,10 @@ def delta_merge(new: DataFrame, carried: DataFrame, key: tuple[str, ...] = ("sou
 
 
 def allocate_uid(rows: DataFrame, existing: DataFrame, tombstones: DataFrame, key: tuple[str, ...] = ("source", "conversation_id")) -> DataFrame:
-    """Session numbers above all that were ever given. The rows are those of one delta."""
-    top = existing.select("session_uid").unionByName(tombstones.select("session_uid")).agg(F.coalesce(F.max("session_uid"), F.lit(0)).alias("_top"))
-    w = Window.orderBy(*key)
-    return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(top)).withColumn("session_uid", F.col("_top") + F.col("_n")).drop("_top", "_n")
+    """Session numbers above all that were ever given, in the order of the key, which doesn't repeat."""
+    top = existing.select("session_uid").unionByName(tombstones.select("session_uid")).agg(F.coalesce(F.max("session_uid"), F.lit(0))).first()[0]
+    numbered = number_rows(rows.withColumn("_key", F.struct(*key)), "_key", "_n").drop("_key")
+    return numbered.withColumn("session_uid", F.col("_n") + F.lit(top + 1)).drop("_n")
 
 
 def number_rows(rows: DataFrame, order: str, out: str = "nth") -> DataFrame:

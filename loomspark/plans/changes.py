@@ -181,20 +181,18 @@ def plans_merged(s, d):
     return C.merge_plans(o, table(s, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
-_NAMES = "n AS (SELECT event_id AS id, (['Untitled', ' microsoft word - Plan ', 'sheet1', '2024-01-02', 'abc', 'A title that is long enough and goes on for a good while, until it is cut', 'Document1', 'Notes of the day'])[event_id % 8 + 1] || CASE WHEN event_id % 16 > 12 THEN ' ' || event_id ELSE '' END AS t FROM events)"
 _JUNK = "('', 'untitled', 'microsoft word', 'document1', 'doc1', 'presentation1', 'powerpoint presentation', 'sheet1')"
-_SQ = r"trim(regexp_replace(t, '\s+', ' ', 'g'))"
-_CL = r"trim(regexp_replace(trim(t), '^(microsoft\s+word|word)\s*[-–—]\s*', '', 'i'))"
+_LINE = "trim(regexp_replace(replace(t, chr(160), ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+_BARE = "trim(regexp_replace(x, '^(microsoft\\s+word|word)\\s*[-–—]\\s*', '', 'i'))"
+_KIND = f"CASE WHEN lower({{0}}) IN {_JUNK} THEN 'junk' WHEN length({{0}}) < 4 THEN 'short' WHEN length({{0}}) > 200 THEN 'long' WHEN regexp_full_match({{0}}, '[\\d\\s\\-/.:年月日]+') THEN 'dated' ELSE 'title' END"
+#: First lines of documents; some come from an exporter, some are dates.
+_FIRST = "CASE WHEN doc_id % 7 = 0 THEN 'Microsoft Word - ' ELSE '' END || CASE WHEN doc_id % 35 = 0 THEN 'Document1' WHEN doc_id % 11 = 0 THEN '2024-01-' || CAST(doc_id % 28 + 1 AS VARCHAR(9)) WHEN doc_id % 13 = 0 THEN lang ELSE split_part(text, chr(10), 1) END"
 
 
-@query(f"WITH {_NAMES} SELECT id, lower({_SQ}) IN {_JUNK} AS junk, length({_SQ}) BETWEEN 4 AND 200 AND NOT regexp_full_match({_SQ}, '[\\d\\s\\-/.:年月日]+') AND lower({_SQ}) NOT IN {_JUNK} AS title_like, CASE WHEN lower({_CL}) IN {_JUNK} THEN '' ELSE {_CL} END AS cleaned, CASE WHEN length({_SQ}) > 60 THEN rtrim(substr({_SQ}, 1, 60)) || '…' ELSE {_SQ} END AS clipped FROM n")
+@query(f"WITH n AS (SELECT doc_id, {_FIRST} AS t FROM documents), l AS (SELECT doc_id, {_LINE} AS x FROM n) SELECT doc_id, {_KIND.format('x')} AS kind, CASE WHEN {_KIND.format(_BARE)} = 'junk' THEN '' ELSE {_BARE} END AS text, CASE WHEN length(x) > 60 THEN rtrim(substr(x, 1, 60)) || '…' ELSE x END AS shown FROM l")
 def title_rules(s, d):
-    names = ["Untitled", " microsoft word - Plan ", "sheet1", "2024-01-02", "abc", "A title that is long enough and goes on for a good while, until it is cut", "Document1", "Notes of the day"]
-    k = F.col("event_id")
-    t = F.concat(F.get(F.array(*[F.lit(x) for x in names]), (k % 8).cast("int")), F.when(k % 16 > 12, F.concat(F.lit(" "), k)).otherwise(""))
-    n = table(s, d, "events").select(k.alias("id"), t.alias("t"))
-    t = F.col("t")
-    return n.select("id", H.is_junk(t).alias("junk"), H.looks_like_title(t).alias("title_like"), H.cleaned(t).alias("cleaned"), H.clipped(t).alias("clipped"))
+    n = table(s, d, "documents").select("doc_id", F.expr(_FIRST.replace("chr(10)", "'\n'")).alias("t"))
+    return n.select("doc_id", H.title(F.col("t")).alias("h")).select("doc_id", "h.kind", "h.text", "h.shown")
 
 
 _PATHS = ("/home/u/.ssh/id_rsa", "C:\\\\Users\\\\u\\\\.aws\\\\x", "/srv/app/.env.local", "/srv/doc.md", "/keys/a.PEM", "/u/credentials", "/u/my.ssh/x", "/u/kubeconfig.yml", "/u/.environment")
