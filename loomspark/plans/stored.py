@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators import index as I
 from ..operators import materials as A
+from ..operators import models as M
 from ..operators import nested as N
 from ..operators import packing as P
 from ..operators import search as S
 from ..operators import vectors as V
 from ..sources import convert as C
 from ..sources import transcript_source as X
-from ..sources.state import shared_dir
+from ..sources.state import read_evolved, save_version, shared_dir
 from .base import Registry, table
 from .search import _GRAMS, _NOISE, _Q, EVERY, _query_vectors, _texts, _vectors
 
@@ -179,4 +180,35 @@ def pages_converted(s, d):
     return s.sql(f"SELECT f.page_id, d.doc_id, d.kind, d.error FROM {view} f, LATERAL convert_document('page', f.content) d")
 
 
+@query("""SELECT '1' AS version, 'unknown' AS lang, count(*) AS n, sum(n_chars) AS chars, count(*) AS n_backfilled FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT '2', lang, count(*), sum(n_chars), 0 FROM documents WHERE doc_id % 3 <> 0 GROUP BY lang""")
+def versions_as_one(s, d):
+    """Documents in a table whose second version has a column that the first lacked, and a wider one."""
+    docs, root = table(s, d, "documents"), _place(s, "evolved")
+    save_version(docs.where("doc_id % 3 = 0").select("doc_id", F.col("n_chars").cast("int").alias("n_chars")), root, "1")
+    save_version(docs.where("doc_id % 3 <> 0").select("doc_id", "n_chars", "lang", F.lit(True).alias("checked")), root, "2")
+    one = read_evolved(s, root, {"lang": F.lit("unknown"), "checked": F.col("doc_id") < 0})
+    return one.groupBy("version", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count_if(~F.col("checked")).alias("n_backfilled"))
+
+
+_MODELS = {"fast": 16, "base": 64}
+_COSINE = "greatest(list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(u.e AS DOUBLE[])), 0.0)"
+
+
+@query(f"""WITH u AS (SELECT vec_id AS id, 'vec' AS channel, embedding[1:16] AS e FROM embeddings UNION ALL SELECT vec_id, 'vec:base', embedding FROM embeddings),
+p AS (SELECT q.id AS query_id, u.id AS unit_id, u.channel, {_COSINE} AS score FROM u q JOIN u ON u.channel = q.channel WHERE q.id % {EVERY} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, unit_id) AS rank FROM p)
+SELECT query_id, unit_id, round(max(score), 5) AS best, round(max(score) + 0.4 * sum(1.0 / (60 + rank)), 5) AS rel, count(*) AS n_channels FROM r WHERE rank <= 20 GROUP BY ALL""")
+def model_fusion(s, d):
+    """Two models of different dimension as two channels; a third of the base vectors was lacking and is repaired first."""
+    v = _vectors(s, d)
+    fast = v.select("unit_id", F.lit("fast").alias("model"), F.slice("embedding", 1, 16).alias("embedding"))
+    base = v.where("unit_id % 3 <> 0").select("unit_id", F.lit("base").alias("model"), "embedding")
+    encoders = {"fast": lambda units: units.join(v, "unit_id").select("unit_id", F.slice("embedding", 1, 16).alias("embedding")), "base": lambda units: units.join(v, "unit_id").select("unit_id", "embedding")}
+    vectors = M.repaired(v.select("unit_id"), fast.unionByName(base), _MODELS, encoders)
+    queries = vectors.where(F.col("unit_id") % EVERY == 0).withColumnRenamed("unit_id", "query_id")
+    fused = S.fuse(M.model_channels(vectors, queries, _MODELS, 20))
+    return fused.select("query_id", "unit_id", F.round("best", 5).alias("best"), F.round("rel", 5).alias("rel"), "n_channels")
+
+
 QUERIES, ORACLE = query.queries, query.oracle

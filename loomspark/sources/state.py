@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,24 @@ def prune_versions(spark: SparkSession, root: str, keep: int) -> list[str]:
 def newest(df: DataFrame, keep: int, order: str, group: list[str] | None = None) -> DataFrame:
     w = Window.partitionBy(*(group or [])).orderBy(F.desc(order))
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+
+
+def read_evolved(spark: SparkSession, root: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """All versions of a table as one, with the columns of all of them.
+
+    A column that a version didn't have is null there, or takes its default: an expression over the other columns, so a
+    backfill may be computed. A null that a version wrote itself stays null. Types may widen between versions (int to
+    bigint, float to double); ``version`` says where a row is from.
+    """
+    found = sorted(versions(spark, root))
+    if not found:
+        raise FileNotFoundError(f"no version in {root}")
+    out = None
+    for v in found:  # a plan for each version, and no data read for it
+        df = spark.read.parquet(f"{root.rstrip('/')}/version={v}")
+        for name, value in (defaults or {}).items():
+            if name not in df.columns:
+                df = df.withColumn(name, value)
+        df = df.withColumn("version", F.lit(v))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
