@@ -16,14 +16,13 @@ travels as one struct); those named like a result (``curve_cell``, ``shard``, ``
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bits per dimension, dimensions, and about how many rows are sorted together.
-GRID_BITS, DIMS, SUB_ROWS = 3, 4, 1 << 17
+#: Bits per dimension, dimensions, and about how many rows are sorted together: a task holds their texts.
+GRID_BITS, DIMS, SUB_ROWS = 3, 4, 1 << 12
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -80,14 +79,17 @@ def text_rank(dim: Column, cuts: list[str]) -> Column:
 
 
 def curve_cell(dims: list[Column], cuts: list[list[float]], bits: int) -> Column:
-    """Curve index of the cell that ``cuts`` put the values of ``dims`` in."""
+    """Curve index of the cell that ``cuts`` put the values of ``dims`` in.
 
-    @F.pandas_udf("int")
-    def index(*cols: pd.Series) -> pd.Series:
-        grid = np.stack([np.searchsorted(np.asarray(c), x.to_numpy(), side="right") for c, x in zip(cuts, cols, strict=True)], axis=1)
-        return pd.Series(hilbert_index(grid, bits).astype(np.int32))
-
-    return index(*dims)
+    The grid is small (``2**(bits * dims)`` cells), so the index of every cell is found once and a row looks its own up.
+    """
+    side, d = 1 << bits, len(dims)
+    every = np.stack(np.meshgrid(*[np.arange(side)] * d, indexing="ij"), axis=-1).reshape(-1, d)
+    table = F.lit([int(x) for x in hilbert_index(every, bits)])
+    place = F.lit(0)
+    for x, c in zip(dims, cuts, strict=True):
+        place = place * side + sum(((x >= F.lit(float(v))).cast("int") for v in c), F.lit(0))
+    return F.get(table, place)
 
 
 def assign(rows: DataFrame, dims: list[Column], tie: list[Column], shards: int = 40, bits: int = GRID_BITS, sub_rows: int = SUB_ROWS) -> DataFrame:
