@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import search as S
 
 KEY = ("source", "conversation_id")
 CONFIDENCE, STATUS = ("high", "medium", "low"), ("new", "similar", "merged", "duplicate")
@@ -154,23 +155,20 @@ def should_push(category: Column, level: Column, categories: dict[str, bool], le
     return F.coalesce(on(category, categories), F.lit(False)) | F.coalesce(on(level, levels), F.lit(False))
 
 
-def needle_counts(units: DataFrame, needles: DataFrame, text: str = "text", block: int = 256) -> DataFrame:
-    """(needle, n): how many texts contain each needle.
+def needle_counts(units: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
+    """(needle, n): how many texts contain each needle, whatever the case.
 
-    Needles are a stated set, read in blocks: a block is an array literal that is filtered once per text, so the texts are
-    neither multiplied nor shuffled; only (needle, count) rows are.
+    Needles are a stated set, looked for in blocks: texts are lower-cased once a block and neither multiplied nor shuffled;
+    only (needle, count) rows are.
     """
-    asked = sorted({r[0] for r in needles.select("needle").where("needle <> ''").distinct().limit(block * 64 + 1).collect()})
-    if len(asked) > block * 64:
-        raise ValueError(f"more than {block * 64} needles: ask in several calls")
-    parts = [asked[i : i + block] for i in range(0, len(asked), block)] or [[]]
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    own = needles.select("needle").distinct().withColumn("low", F.lower("needle"))
+    asked = sorted({r["low"] for r in own.where("needle <> ''").select("low").collect()})
+    texts = units.select(F.lit(0).cast("bigint").alias("unit_id"), F.col(text).alias("text"))
     found = None
-    for part in parts:
-        hits = F.filter(F.array(*[F.lit(x) for x in part]).cast("array<string>"), lambda x: F.contains(low, F.lower(x)))
-        one = units.select(F.explode(hits).alias("needle")).groupBy("needle").agg(F.count(F.lit(1)).alias("n"))
+    for part in [asked[i : i + S.LITERALS] for i in range(0, len(asked), S.LITERALS)] or [[]]:
+        one = S.needles_in(texts, part, ("text",)).groupBy(F.col("needle").alias("low")).agg(F.count(F.lit(1)).alias("n"))
         found = one if found is None else found.unionByName(one)
-    return needles.select("needle").distinct().join(found, "needle", "left").select("needle", F.coalesce("n", F.lit(0)).alias("n"))
+    return own.join(found, "low", "left").select("needle", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def hit_view(hits: DataFrame, units: DataFrame, page_chars: int = 600) -> DataFrame:
