@@ -202,3 +202,18 @@ def merge_plans(plans: DataFrame, inputs: DataFrame) -> DataFrame:
     n = groups.agg(F.count(F.lit(1)).alias("n"))
     alone = E.number_rows(inputs.select("id").distinct().join(own.select("id"), "id", "left_anti"), "id").join(F.broadcast(n))
     return own.join(groups, ["batch", "local"]).select(F.col("group").cast("bigint").alias("group"), "id").unionByName(alone.select((F.col("n") + F.col("nth")).alias("group"), "id"))
+
+
+def restore_pending(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (id) with the outcome of taking a soft drop back: restored, not dropped or unknown (also one that was
+    dropped for good), and the memories' new ``wiki_ignore_at``."""
+    own = memories.select("id", F.col("wiki_ignore_at").alias("was"), F.lit(True).alias("there"))
+    out = asked.select("id").distinct().join(own, "id", "left")
+    outcome = F.when(F.col("there").isNull(), "unknown").when(F.col("was").isNull(), "not dropped").otherwise("restored")
+    return out.select("id", outcome.alias("outcome"))
+
+
+def with_restored(memories: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Memories after a restore."""
+    back = outcomes.where("outcome = 'restored'").select("id", F.lit(True).alias("_back"))
+    return memories.join(back, "id", "left").withColumn("wiki_ignore_at", F.when(F.col("_back").isNull(), F.col("wiki_ignore_at"))).drop("_back")

@@ -83,15 +83,33 @@ def touched_pages(pages: DataFrame, touched: DataFrame) -> DataFrame:
     return pages.select("page", F.explode("from_files").alias("file")).join(touched.select("file").distinct(), "file", "left_semi").select("page").distinct()
 
 
-def projection_changes(old: DataFrame, now: DataFrame, vectors: DataFrame, columns: tuple[str, ...] = ("text", "title", "domain", "path", "origin", "doc")) -> DataFrame:
-    """(src_id, change): new, changed (text or any of its data), unembedded, same or gone."""
+def projection_changes(old: DataFrame, now: DataFrame, vectors: DataFrame, columns: tuple[str, ...] = ("text", "title", "domain", "path", "origin", "doc"), scanned: DataFrame | None = None) -> DataFrame:
+    """(src_id, change): new, changed (text or any of its data), unembedded, same or gone.
+
+    Given the roots that were ``scanned`` (root), a page that isn't there any more is gone only if its root was among them;
+    pages of other roots are kept.
+    """
     same = F.lit(True)
     for c in columns:
         same &= F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     have = vectors.select(F.col("src_id").alias("_v")).distinct()
     j = old.alias("o").join(now.alias("n"), F.col("o.src_id") == F.col("n.src_id"), "full_outer").join(have, F.col("n.src_id") == F.col("_v"), "left")
     change = F.when(F.col("o.src_id").isNull(), "new").when(F.col("n.src_id").isNull(), "gone").when(~same, "changed").when(F.col("_v").isNull(), "unembedded").otherwise("same")
-    return j.select(F.coalesce("n.src_id", "o.src_id").alias("src_id"), change.alias("change"))
+    if scanned is None:
+        return j.select(F.coalesce("n.src_id", "o.src_id").alias("src_id"), change.alias("change"))
+    out = j.select(F.coalesce("n.src_id", "o.src_id").alias("src_id"), F.col("o.root").alias("root"), change.alias("change"))
+    seen = scanned.select(F.col("root").alias("_root")).distinct()
+    out = out.join(seen, F.col("root") == F.col("_root"), "left")
+    return out.select("src_id", F.when((F.col("change") == "gone") & F.col("_root").isNull(), "kept").otherwise(F.col("change")).alias("change"))
+
+
+def projected(old: DataFrame, now: DataFrame, changes: DataFrame) -> DataFrame:
+    """The projection after ``changes``: rows of ``now`` where they are new, changed, unembedded or the same, and old rows that
+    are kept; ``embed`` says which need a vector."""
+    c = changes.select("src_id", "change")
+    own = now.join(c, "src_id").select(*now.columns, F.col("change").isin("new", "changed", "unembedded").alias("embed"))
+    kept = old.join(c.where("change = 'kept'").select("src_id"), "src_id", "left_semi").select(*now.columns, F.lit(False).alias("embed"))
+    return own.unionByName(kept)
 
 
 def skew_verdict(a: Column, b: Column, within: float = 60.0) -> Column:

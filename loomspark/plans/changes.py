@@ -129,6 +129,31 @@ def pending_dropped(s, d):
     return both[0].unionByName(both[1])
 
 
+@query(f"""WITH {MMS}, a AS (SELECT id FROM mms WHERE id % 3 = 0 UNION ALL SELECT -id - 1 FROM mms WHERE id % 10 = 0)
+SELECT a.id, CASE WHEN m.id IS NULL THEN 'unknown' WHEN m.id % 2 = 0 THEN 'restored' ELSE 'not dropped' END AS outcome, CASE WHEN m.id IS NOT NULL AND m.id % 2 = 0 THEN false END AS still_dropped FROM a LEFT JOIN mms m ON m.id = a.id""")
+def pending_restored(s, d):
+    """Every second memory is dropped softly; some are asked back, among them some that aren't there."""
+    m = memories(s, d).withColumn("wiki_ignore_at", F.when(F.col("id") % 2 == 0, 5.0))
+    asked = m.where("id % 3 = 0").select("id").unionByName(m.where("id % 10 = 0").select((-F.col("id") - 1).alias("id")))
+    out = C.restore_pending(m, asked)
+    after = C.with_restored(m, out).select("id", F.col("wiki_ignore_at").isNotNull().alias("still_dropped"))
+    return out.join(after, "id", "left").select("id", "outcome", F.when(F.col("outcome") == "restored", F.col("still_dropped")).alias("still_dropped"))
+
+
+@query("""WITH o AS (SELECT doc_id, lang, text FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0 AND lang IN ('en', 'de')),
+j AS (SELECT coalesce(n.doc_id, o.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN CASE WHEN o.lang IN ('en', 'de') THEN 'gone' ELSE 'kept' END WHEN o.text <> n.text THEN 'changed' WHEN n.doc_id % 4 = 0 THEN 'unembedded' ELSE 'same' END AS change, coalesce(n.text, o.text) AS text FROM o FULL JOIN n USING (doc_id))
+SELECT 'wiki_' || id AS src_id, change, CASE WHEN change = 'gone' THEN NULL ELSE md5(text) END AS md5, CASE WHEN change <> 'gone' THEN change IN ('new', 'changed', 'unembedded') END AS embed FROM j""")
+def projection_scoped(s, d):
+    """Pages of two scanned roots against the stored ones of all roots."""
+    docs = table(s, d, "documents").select(F.col("doc_id"), F.concat(F.lit("wiki_"), "doc_id").alias("src_id"), F.col("lang").alias("root"), "text")
+    old = docs.where("doc_id % 7 <> 0").select("src_id", "root", "text")
+    now = docs.where("doc_id % 11 <> 0 AND root IN ('en', 'de')").select("src_id", "root", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
+    vectors = docs.where("doc_id % 4 <> 0").select("src_id")
+    changes = P.projection_changes(old, now, vectors, ("text", "root"), now.select("root"))
+    after = P.projected(old, now, changes).select("src_id", F.md5("text").alias("md5"), "embed")
+    return changes.join(after, "src_id", "left")
+
+
 @query(f"WITH {MMS} SELECT id, md5(content) AS md5, source || '/' || conversation_id AS session FROM mms WHERE status IN ('new', 'similar') AND source || '/' || conversation_id NOT IN ('s1/1', 's3/7') AND id % 13 <> 0")
 def manifest_without(s, d):
     m = memories(s, d)
