@@ -35,6 +35,11 @@ def save_version(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Versions of a table, newest first. One name a version: a short listing."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)

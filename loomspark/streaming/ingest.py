@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import events as E
+from ..sources.state import exists
 
 UNIT_KEY = ["source", "conversation_id", "seq"]
 
@@ -37,12 +38,9 @@ def start(spark: SparkSession, inbox: str, out: str, checkpoint: str, schema: st
     def write(batch: DataFrame, number: int) -> None:
         units = as_units(batch)
         path = f"{out}/units"
-        try:
+        if exists(batch.sparkSession, path):  # every batch writes a file, also one without rows
             seen = batch.sparkSession.read.parquet(path).where(F.col("batch") != number).select(*UNIT_KEY)
             units = units.join(seen, UNIT_KEY, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         units.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if embed is not None:
             embed(batch.sparkSession.read.parquet(f"{path}/batch={number}")).write.mode("overwrite").parquet(f"{out}/vectors/batch={number}")
