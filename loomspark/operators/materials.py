@@ -17,8 +17,8 @@ another live document has already are a duplicate. Commands come in the order of
 An illegal command changes nothing and is reported with its row. Ingesting the same bytes into an ``ok`` document leaves it.
 
 The status is one of five, so a block of commands is a function from five statuses to five, as an array; functions of
-blocks are composed in order, a row for each block. A document that holds a third of all commands is worked on by as many
-tasks as it has blocks. Whether an ingest brings the bytes of the ingest before it is known without the fold, from the
+blocks are composed in order, a row for each block, and a document's commands are folded by as many tasks as it has blocks.
+Before that its commands are numbered and compared with the ingest before, in one task's sorted stream. Whether an ingest brings the bytes of the ingest before it is known without the fold, from the
 commands alone, as each ingest that isn't left out sets them and one that is left out equals them.
 """
 
