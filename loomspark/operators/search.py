@@ -58,15 +58,32 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score:
 
 #: Queries that travel to the tasks at once, needles and grams that become a literal, and needles that are looked for one by one.
 QUERY_BLOCK, LITERALS, FEW = 2048, 16_384, 64
+#: Queries and units of a cell of the product, and products that a task holds at once.
+CELL, TILE = 16_384, 1 << 20
 
 
 def _best(ids: np.ndarray, q: np.ndarray, units: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of ``x`` for each row of ``q`` (both of unit length), ties by id."""
-    sims = np.maximum(q @ x.T, 0.0)
-    cut = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(q), -1.0)
-    i, j = np.nonzero(sims >= cut[:, None])  # everything that equals the k-th score stays until it is ranked
-    out = pd.DataFrame({"query_id": ids[i], "unit_id": units[j], "score": sims[i, j]})
-    return out.sort_values(["query_id", "score", "unit_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+    """The k nearest rows of ``x`` for each row of ``q`` (both of unit length), ties by id.
+
+    Products are made tile by tile. What is near the k-th score is computed again pair by pair, since equal vectors at two
+    places of a product of matrices may differ in their last bits.
+    """
+    out = [pd.DataFrame({"query_id": ids[:0], "unit_id": units[:0], "score": np.empty(0)})]
+    step = max(1, TILE // max(1, len(x)))
+    for a in range(0, len(q), step):
+        sims = np.maximum(q[a : a + step] @ x.T, 0.0)
+        cut = np.partition(sims, -k, axis=1)[:, -k] - 1e-12 if sims.shape[1] > k else np.full(len(sims), -1.0)
+        i, j = np.nonzero(sims >= cut[:, None])  # everything that equals the k-th score stays until it is ranked
+        score = np.zeros(len(i))
+        for b in range(0, len(i), TILE // 16):
+            few = slice(b, b + TILE // 16)
+            score[few] = np.maximum((q[a + i[few]] * x[j[few]]).sum(axis=1), 0.0)
+        order = np.lexsort((units[j], -score, i))  # rows of a query, best first
+        i, j, score = i[order], j[order], score[order]
+        starts = np.searchsorted(i, i)
+        first = np.arange(len(i)) - starts < k
+        out.append(pd.DataFrame({"query_id": ids[a + i[first]], "unit_id": units[j[first]], "score": score[first]}))
+    return pd.concat(out[1:] or out)
 
 
 def _matrix(pdf: pd.DataFrame, dim: int | None = None) -> tuple[np.ndarray, pd.DataFrame]:
@@ -108,14 +125,16 @@ def knn(units: DataFrame, queries: pd.DataFrame | DataFrame, k: int, exclude: Da
     return top_k(found, k).select("query_id", "unit_id", F.lit(channel).alias("channel"), "score", "rank")
 
 
-def _cells(units: DataFrame, queries: DataFrame, k: int, block: int = 16_384) -> DataFrame:
+def _cells(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, unit_id, score): the k nearest of each query in every block of units."""
-    n_q, n_u = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (units, block)))
+    n_q, n_u = (max(1, -(-df.count() // CELL)) for df in (queries, units))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), every(n_u).alias("ub"))
-    u = units.select("unit_id", "embedding", F.pmod(F.xxhash64("unit_id"), F.lit(n_u)).cast("int").alias("ub"), every(n_q).alias("qb"))
+    # both sides may come from one table: their columns get names of their own
+    q = queries.select("query_id", F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), every(n_u).alias("ub"))
+    u = units.select("unit_id", F.col("embedding").alias("held"), F.pmod(F.xxhash64("unit_id"), F.lit(n_u)).cast("int").alias("u_ub"), every(n_q).alias("u_qb"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.rename(columns={"asked": "embedding"}), right.rename(columns={"held": "embedding"})
         out = [pd.DataFrame({"query_id": left["query_id"][:0], "unit_id": right["unit_id"][:0], "score": np.empty(0)})]
         for dim in left["embedding"].map(lambda v: -1 if v is None else len(v)).unique():
             a, asked = _matrix(left, dim)
@@ -124,7 +143,7 @@ def _cells(units: DataFrame, queries: DataFrame, k: int, block: int = 16_384) ->
                 out.append(_best(asked["query_id"].to_numpy(), a, held["unit_id"].to_numpy(), x, k))
         return pd.concat(out)
 
-    return q.groupBy("qb", "ub").cogroup(u.groupBy("qb", "ub")).applyInPandas(meet, "query_id bigint, unit_id bigint, score double")
+    return q.groupBy("qb", "ub").cogroup(u.groupBy("u_qb", "u_ub")).applyInPandas(meet, "query_id bigint, unit_id bigint, score double")
 
 
 def gram_search(units: DataFrame | None, queries: DataFrame, k: int, weights: dict[str, float] | None = None, channel: str = "fts", k1: float = 1.2, b: float = 0.75, index: I.TextIndex | None = None, group: str | None = None) -> DataFrame:
