@@ -134,13 +134,15 @@ def manifest_without(manifest: DataFrame, sessions: DataFrame, ids: DataFrame) -
     return manifest.join(sessions.select("session"), "session", "left_anti").join(ids.select("id"), "id", "left_anti")
 
 
-def record_delta(previous: DataFrame, changed: DataFrame, consumed: bool, cap: int = 5000) -> DataFrame:
+def record_delta(previous: DataFrame, changed: DataFrame, consumed: bool, cap: int | None = 5000) -> DataFrame:
     """(source, id, status, oversized) of the next delta.
 
     Entries that no stage has read are carried over, new ones win. Above ``cap`` the delta is one row that says so, and
-    every stage then works on all.
+    every stage then works on all; without a cap (None) the delta is whole at any size.
     """
     merged = E.delta_merge(changed, previous.limit(0) if consumed else previous, ("source", "id"))
+    if cap is None:
+        return merged.select("source", "id", "status", F.lit(False).alias("oversized"))
     n = merged.agg(F.count(F.lit(1)).alias("n"))
     sized = merged.join(F.broadcast(n)).where(F.col("n") <= cap).select("source", "id", "status", F.lit(False).alias("oversized"))
     none = F.lit(None).cast("string")
