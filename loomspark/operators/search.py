@@ -216,16 +216,20 @@ def needles_in(units: DataFrame, needles: list[str], fields: tuple[str, ...]) ->
 def contains_search(units: DataFrame, needles: DataFrame, k: int, fields: tuple[str, ...] = ("text",), channel: str = "ident") -> DataFrame:
     """Literal search of several needles a query: most needles first, then id. The score is 1.
 
-    Needles are a stated set; each distinct one is looked for once, ``LITERALS`` of them in a pass.
+    Needles are a stated set; each distinct one is looked for once, ``LITERALS`` of them in a pass. Queries with the same
+    needles have the same hits: these are ranked once, and only the k that are left go to each of the queries.
     """
-    own = needles.where("needle IS NOT NULL").select("query_id", "needle", F.lower("needle").alias("low"))
-    distinct = sorted(r["low"] for r in own.select("low").distinct().collect())
+    own = needles.where("needle IS NOT NULL").groupBy("query_id").agg(F.array_sort(F.collect_set("needle")).alias("needles"))
+    sets = own.groupBy("needles").agg(F.min("query_id").alias("first"))
+    asked = sets.select("first", F.explode("needles").alias("needle")).withColumn("low", F.lower("needle"))
+    distinct = sorted(r["low"] for r in asked.select("low").distinct().collect())
     found = None
     for block in [distinct[i : i + LITERALS] for i in range(0, len(distinct), LITERALS)] or [[]]:
         rows = needles_in(units, block, fields)
         found = rows if found is None else found.unionByName(rows)
-    rows = found.withColumnRenamed("needle", "low").join(own, "low").groupBy("query_id", "unit_id").agg(F.count_distinct("needle").cast("double").alias("n"))
-    return top_k(rows, k, score="n").select("query_id", "unit_id", F.lit(channel).alias("channel"), F.lit(1.0).alias("score"), "rank")
+    rows = found.withColumnRenamed("needle", "low").join(F.broadcast(asked), "low").groupBy("first", "unit_id").agg(F.count_distinct("needle").cast("double").alias("n"))
+    ranked = top_k(rows, k, ("first",), "n").join(sets, "first").join(own, "needles")
+    return ranked.select("query_id", "unit_id", F.lit(channel).alias("channel"), F.lit(1.0).alias("score"), "rank")
 
 
 def identifier_search(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
