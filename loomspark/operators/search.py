@@ -103,6 +103,7 @@ def knn(units: DataFrame, queries: pd.DataFrame | DataFrame, k: int, exclude: Da
     """
     if exclude is not None:
         units = units.join(exclude.select("unit_id"), "unit_id", "left_anti")
+    units = units.where("embedding IS NOT NULL")  # units without a vector are in no block
     if isinstance(queries, DataFrame):
         few = queries.select("query_id", "embedding").limit(QUERY_BLOCK + 1).toPandas()
         if len(few) > QUERY_BLOCK:
