@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from ..sources import state
 from ..sources.state import cut
 
-#: Characters of text in a block, and folders that grams are dealt to.
-BLOCK, BUCKETS = 4 << 20, 64
+#: Characters of text in a block, those that are counted at once, and folders that grams are dealt to.
+BLOCK, SCAN, BUCKETS = 4 << 20, 1 << 20, 64
+#: Places that a task unpacks at once.
+POSTINGS = 1 << 18
 #: Bits of a code point.
 POINT = 21
 _SEGMENT = "segment string, n bigint, chars bigint"
@@ -77,19 +79,74 @@ def counted(codes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return grams[order][keys // n], keys % n, tf
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers below 2**32 byte plane by byte plane, lowest first, without planes of zeros at the end: they compress well."""
-    flat = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    used = max((i + 1 for i in range(4) if flat[i].any()), default=1)
-    return flat[:used].tobytes()
-
-
-def unplanes(data: bytes, n: int) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(-1, n)
-    return sum(flat[i].astype(np.int64) << 8 * i for i in range(len(flat)))
-
-
-def hits_by_scan(units: DataFrame, wanted: list[int], field: str = "text", block: int = BLOCK) -> DataFrame:
+def counted_texts(texts: list[str | None], most: int = SCAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``counted`` for all grams of the texts, and the characters of each; about ``most`` characters are laid out at once."""
+    sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=-1)).tolist()
+    found = [(np.empty(0, np.int64),) * 3]
+    for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
+        codes, of, _ = grams_of(texts[a:b])
+        if len(codes):
+            gram, text, tf = counted(codes, of, b - a)
+            found.append((gram, text + a, tf))
+    gram, text, tf = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(gram, kind="stable")  # texts of a gram stay in their order
+    return gram[order], text[order], tf[order], sizes
+
+
+def packed(x: np.ndarray, dfs: np.ndarray) -> pa.Array:
+    """Rows of ``dfs`` numbers below 2**32 each, byte plane by byte plane, lowest first, without planes of zeros at the end:
+    they compress well. No row is empty."""
+    starts = np.cumsum(dfs) - dfs
+    most = np.maximum.reduceat(x, starts) if len(dfs) else np.empty(0, np.int64)
+    used = 1 + sum((most >> 8 * i > 0).astype(np.int64) for i in (1, 2, 3))
+    offsets = np.append(0, np.cumsum(dfs * used))
+    out = np.empty(offsets[-1], np.uint8)
+    to = np.repeat(offsets[:-1] - starts, dfs) + np.arange(len(x))
+    for i in range(int(used.max(initial=0))):
+        deep = np.repeat(used > i, dfs)
+        out[(to + np.repeat(i * dfs, dfs))[deep]] = (x[deep] >> 8 * i & 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(dfs), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(rows: pa.Array, dfs: np.ndarray) -> np.ndarray:
+    """The numbers of packed rows, one row after the other."""
+    if not len(rows):
+        return np.empty(0, np.int64)
+    _, offsets, data = rows.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    used = np.diff(offsets) // dfs
+    to = np.repeat(offsets[:-1] - (np.cumsum(dfs) - dfs), dfs) + np.arange(int(dfs.sum()))
+    out = np.zeros(len(to), np.int64)
+    for i in range(int(used.max(initial=0))):
+        deep = np.repeat(used > i, dfs)
+        out[deep] |= data[(to + np.repeat(i * dfs, dfs))[deep]].astype(np.int64) << 8 * i
+    return out
+
+
+def steps_of(x: np.ndarray, dfs: np.ndarray) -> np.ndarray:
+    """Differences within rows; the first of a row is its own value."""
+    steps, starts = np.diff(x, prepend=0), np.cumsum(dfs) - dfs
+    steps[starts] = x[starts]
+    return steps
+
+
+def sums_of(steps: np.ndarray, dfs: np.ndarray) -> np.ndarray:
+    """The values that ``steps_of`` was made from."""
+    sums, starts = np.cumsum(steps), np.cumsum(dfs) - dfs
+    return sums - np.repeat(sums[starts] - steps[starts], dfs)
+
+
+def df_blocks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of packed postings that hold about ``most`` places when they are unpacked."""
+    block = np.cumsum(batch.column("df").to_numpy()) // most
+    starts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def hits_by_scan(units: DataFrame, wanted: list[int], field: str = "text", block: int = SCAN) -> DataFrame:
     """(unit_id, code, tf, len) of the wanted grams by one pass over the texts; nothing else leaves a task."""
     asked = np.sort(np.array(sorted(set(wanted)), dtype=np.int64))
     kind = units.schema["unit_id"].dataType.simpleString()
@@ -181,22 +238,19 @@ class TextIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task = TaskContext.get().partitionId()
             for i, part in enumerate(text_blocks(batches, "low", block)):
-                codes, of, sizes = grams_of(part.column("low").to_pylist())
+                gram, text, tf, sizes = counted_texts(part.column("low").to_pylist())
                 n = part.num_rows
                 own = [np.full(n, task << 32 | i, dtype=np.int64), part.column("unit_id"), np.arange(n, dtype=np.int32), np.maximum(sizes - 2, 0), part.column("group")]
                 empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in own), *empty], names=names)
-                if not len(codes):
+                if not len(gram):
                     continue
-                gram, text, tf = counted(codes, of, n)
                 starts = np.flatnonzero(np.diff(gram, prepend=-1))
-                ends = np.append(starts[1:], len(gram))
-                steps = np.diff(text, prepend=0)
-                steps[starts] = text[starts]
-                rows = [[planes(x[a:b]) for a, b in zip(starts, ends, strict=True)] for x in (steps, tf - 1)]
+                dfs = np.diff(np.append(starts, len(gram)))
+                rows = [packed(steps_of(text, dfs), dfs), packed(tf - 1, dfs)]
                 m = len(starts)
                 blank = [pa.nulls(m, part.column("unit_id").type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task << 32 | i, dtype=np.int64)), *blank, pa.array(gram[starts]), pa.array(ends - starts), *(pa.array(x, pa.binary()) for x in rows)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task << 32 | i, dtype=np.int64)), *blank, pa.array(gram[starts]), pa.array(dfs), *rows], names=names)
 
         made = cut(low.mapInArrow(run, f"block bigint, unit_id {kind}, place int, len bigint, group string, gram bigint, df bigint, places binary, tfs binary"), "segment")
         texts = made.where("place IS NOT NULL").select("block", "place", "unit_id", "len", "group")
@@ -226,28 +280,27 @@ class TextIndex:
         place = f"{self.root}/segments/{name}"
         live = cut(self.texts().withColumn("to", F.xxhash64("age", "block")), "live")
         live.select(F.col("to").alias("block"), "place", "unit_id", "len", "group").write.parquet(f"{place}/texts")
-        kept = live.groupBy(F.col("to").alias("block")).agg(F.sort_array(F.collect_list("place")).alias("kept"))  # a block's texts
-        sizes = self._each("texts").groupBy(F.xxhash64("age", "block").alias("block")).agg(F.count(F.lit(1)).alias("all"))
-        every = self._each("postings").withColumn("block", F.xxhash64("age", "block")).drop("age", "bucket")
-        rows = every.join(sizes.join(kept, "block").select("block", F.when(F.size("kept") < F.col("all"), F.col("kept")).alias("kept")), "block")
-
-        def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[list] = [[], [], [], [], []]
-                for block, gram, df, places, tfs, kept in zip(*(b.column(c).to_pylist() for c in ("block", "gram", "df", "places", "tfs", "kept")), strict=True):
-                    if kept is not None:
-                        at, tf = np.cumsum(unplanes(places, df)), unplanes(tfs, df)
-                        stay = np.isin(at, kept)
-                        at, tf, df = at[stay], tf[stay], int(stay.sum())
-                        if not df:
-                            continue
-                        places, tfs = planes(np.diff(at, prepend=0)), planes(tf)
-                    for column, value in zip(out, (block, gram, df, places, tfs), strict=True):
-                        column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["block", "gram", "df", "places", "tfs"])
-
-        self._write_postings(rows.mapInArrow(thin, "block bigint, gram bigint, df bigint, places binary, tfs binary"), place)
+        texts = live.select(F.col("to").alias("of"), F.col("place").alias("kept"))
+        every = self._each("postings").withColumn("block", F.xxhash64("age", "block")).select("block", "gram", "df", "places", "tfs")
+
+        def thin(held: pa.Table, left: pa.Table) -> pa.Table:
+            """The postings of a block without places that are not live."""
+            kept = left.column("kept").to_numpy()
+            alive = np.zeros(int(kept.max(initial=-1)) + 2, dtype=bool)  # the last place stands for all beyond
+            alive[kept] = True
+            dfs = held.column("df").to_numpy()
+            at = sums_of(unpacked(held.column("places").combine_chunks(), dfs), dfs)
+            stay = alive[np.minimum(at, len(alive) - 1)]
+            now = np.add.reduceat(stay.astype(np.int64), np.cumsum(dfs) - dfs) if len(dfs) else dfs
+            out, now = held.select(["block", "gram"]).filter(pa.array(now > 0)), now[now > 0]
+            at, tf = at[stay], unpacked(held.column("tfs").combine_chunks(), dfs)[stay]
+            for name, column in (("df", pa.array(now)), ("places", packed(steps_of(at, now), now)), ("tfs", packed(tf, now))):
+                out = out.append_column(name, column)
+            return out
+
+        # a block's postings and its live texts meet once, and not a copy of its texts for each of its grams
+        rows = every.groupBy("block").cogroup(texts.groupBy("of"))
+        self._write_postings(rows.applyInArrow(thin, "block bigint, gram bigint, df bigint, places binary, tfs binary"), place)
         live.select("unit_id").limit(0).write.parquet(f"{place}/deletes")
         self._publish([(name, sum(s[1] for s in segments), sum(s[2] for s in segments))])
         return name
@@ -262,13 +315,11 @@ class TextIndex:
         found = self._each("postings").where(F.col("bucket").isin(*buckets) & F.col("gram").isin(*grams)).select("age", "block", "gram", "df", "places", "tfs")
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (x for batch in batches for x in df_blocks(batch, POSTINGS)):
                 df = b.column("df").to_numpy()
-                if not len(df):
-                    continue
-                unpacked = [np.concatenate([f(unplanes(x, n)) for x, n in zip(b.column(c).to_pylist(), df.tolist(), strict=True)]) for c, f in (("places", np.cumsum), ("tfs", lambda x: x + 1))]
+                places, tfs = sums_of(unpacked(b.column("places"), df), df), unpacked(b.column("tfs"), df) + 1
                 rows = pa.array(np.repeat(np.arange(len(df)), df))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("age", "block", "gram")), pa.array(unpacked[0].astype(np.int32)), pa.array(unpacked[1])], names=["age", "block", "code", "place", "tf"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("age", "block", "gram")), pa.array(places.astype(np.int32)), pa.array(tfs)], names=["age", "block", "code", "place", "tf"])
 
         texts = self.texts() if group is None else self.texts().where(F.col("group") == group)
         places = found.mapInArrow(spread, "age int, block bigint, code bigint, place int, tf bigint")
