@@ -93,13 +93,16 @@ def projection_changes(old: DataFrame, now: DataFrame, vectors: DataFrame, colum
     for c in columns:
         same &= F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     have = vectors.select(F.col("src_id").alias("_v")).distinct()
-    j = old.alias("o").join(now.alias("n"), F.col("o.src_id") == F.col("n.src_id"), "full_outer").join(have, F.col("n.src_id") == F.col("_v"), "left")
+    # vectors are looked up first: after the outer join, all pages that aren't there any more would meet at one null key
+    own = now.join(have, F.col("src_id") == F.col("_v"), "left")
+    j = old.alias("o").join(own.alias("n"), F.col("o.src_id") == F.col("n.src_id"), "full_outer")
     change = F.when(F.col("o.src_id").isNull(), "new").when(F.col("n.src_id").isNull(), "gone").when(~same, "changed").when(F.col("_v").isNull(), "unembedded").otherwise("same")
     if scanned is None:
         return j.select(F.coalesce("n.src_id", "o.src_id").alias("src_id"), change.alias("change"))
     out = j.select(F.coalesce("n.src_id", "o.src_id").alias("src_id"), F.col("o.root").alias("root"), change.alias("change"))
     seen = scanned.select(F.col("root").alias("_root")).distinct()
-    out = out.join(seen, F.col("root") == F.col("_root"), "left")
+    # a row for each scanned root; rows stay where they are, since many pages share a root
+    out = out.join(F.broadcast(seen), F.col("root") == F.col("_root"), "left")
     return out.select("src_id", F.when((F.col("change") == "gone") & F.col("_root").isNull(), "kept").otherwise(F.col("change")).alias("change"))
 
 
